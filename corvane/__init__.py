@@ -1,0 +1 @@
+"""Rules over text corpora as Spark plans: scan, lines, rules, violations, pairs, state and reports."""
