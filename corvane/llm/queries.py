@@ -60,5 +60,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_fingerprints, op2_sharding, op3_token_codes, op4_mixing, op5_decontamination, op6_toxicity, op7_quality, op8_simhash, op9_url_filter, op10_suffix_dedup)}
 
 
+#: Words and their whole texts, in DuckDB's dialect.
+_OP4 = f"""
+WITH d AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+')) AS n, CAST('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 8) AS BIGINT) AS key FROM documents WHERE doc_id IS NOT NULL),
+t AS (SELECT source, CAST(sum(n) AS BIGINT) AS words, CAST(ceil(sum(n) / {mixing.BLOCK}.0) AS BIGINT) AS blocks FROM d GROUP BY source),
+laid AS (SELECT d.*, blocks, coalesce(sum(n) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM d JOIN t USING (source) WHERE words > 0),
+cut AS (SELECT *, unnest(range(least(b // {mixing.BLOCK}, blocks - 1), least((b + greatest(n - 1, 0)) // {mixing.BLOCK}, blocks - 1) + 1)) AS block FROM laid),
+pieces AS (SELECT *, greatest(block * {mixing.BLOCK} - b, 0) AS start_word, least((block + 1) * {mixing.BLOCK} - b, n) AS end_word FROM cut),
+w AS (SELECT source, blocks, CAST(floor(sqrt(CAST(words AS DOUBLE)) * 1000) AS BIGINT) AS w FROM t WHERE words > 0),
+c AS (SELECT *, CAST(sum(w) OVER (ORDER BY source) AS BIGINT) AS hi, CAST(sum(w) OVER () AS BIGINT) AS total FROM w),
+bounds AS (SELECT source, blocks, CAST(floor(CAST(hi - w AS DOUBLE) / total * {mixing.RANGE}) AS BIGINT) AS lo, CAST(floor(CAST(hi AS DOUBLE) / total * {mixing.RANGE}) AS BIGINT) AS up FROM c),
+slots AS (SELECT slot, ((slot % {mixing.RANGE}) * {mixing.GOLDEN}) % {mixing.RANGE} AS x FROM (SELECT unnest(range((SELECT CAST(sum(blocks) AS BIGINT) FROM bounds))) AS slot)),
+placed AS (SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS r FROM slots JOIN bounds ON x >= lo AND x < up),
+plan AS (SELECT slot, source, r % blocks AS block, r // blocks AS epoch FROM placed)
+SELECT slot, source, CAST(block AS BIGINT) AS block, CAST(epoch AS BIGINT) AS epoch, doc_id, CAST(start_word AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word,
+  CASE WHEN n = 0 THEN text ELSE array_to_string(list_slice(regexp_extract_all(text, '(?:^[ \\t\\n\\r]*)?[^ \\t\\n\\r]+[ \\t\\n\\r]*'), start_word + 1, end_word), '') END AS text, lang, n_chars
+FROM plan JOIN pieces USING (source, block)"""
+
+_OP9 = f"""
+WITH l AS (SELECT unnest([{", ".join(repr(u) for u in BLOCKED)}]) AS e),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[?#].*$', '') AS bare, row_number() OVER () AS r FROM pages),
+h AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(bare, '^[^/]*'), '^.*@', ''), ':[0-9]*$', ''), '^(www\\.|m\\.)+', '') AS host, regexp_replace(regexp_replace(regexp_extract(bare, '/.*$'), '\\.html?$', ''), '^/+|/+$', '', 'g') AS path FROM b),
+m AS (SELECT page_id, url, host || '/' || path AS canonical_url, e AS listed_url, row_number() OVER (PARTITION BY r ORDER BY length(e) DESC, e) AS rn FROM h JOIN l ON host || '/' = e OR ends_with('.' || host || '/', '.' || e) WHERE host <> '')
+SELECT page_id, url, canonical_url, listed_url FROM m WHERE rn = 1"""
+
+_OP10 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+k AS (SELECT doc_id, ws, min(doc_id) OVER (PARTITION BY ws) AS rep FROM w WHERE len(ws) >= {suffix_dedup.LEAST}),
+win AS (SELECT doc_id, p, md5(array_to_string(list_slice(ws, p + 1, p + {suffix_dedup.LEAST}), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {suffix_dedup.LEAST - 1})) AS p FROM k WHERE rep = doc_id)),
+f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS first_doc_id FROM win),
+g AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, first_doc_id ORDER BY p) + {suffix_dedup.LEAST} THEN 0 ELSE 1 END AS new FROM f WHERE first_doc_id <> doc_id),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, first_doc_id ORDER BY p) AS part FROM g),
+spans AS (SELECT doc_id, min(p) AS start_word, max(p) + {suffix_dedup.LEAST} AS end_word, first_doc_id FROM i GROUP BY doc_id, first_doc_id, part
+  UNION ALL SELECT doc_id, 0, len(ws), rep FROM k WHERE rep <> doc_id)
+SELECT doc_id, CAST(start_word AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word, CAST(end_word - start_word AS BIGINT) AS n_words, first_doc_id FROM spans"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others fit models, draw at random, or depend on hashes that SQL doesn't have."""
+    return {"op4_mixing": _OP4, "op9_url_filter": _OP9, "op10_suffix_dedup": _OP10}
