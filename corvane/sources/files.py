@@ -11,7 +11,7 @@ from ..functions.text import pruned
 
 def read_text(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
     """Whole files under a folder, or one file, with paths relative to it; pruned folders are left out."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     name = F.col("_metadata.file_path")
     base = root.rstrip("/")
     path = F.regexp_replace(F.url_decode(F.regexp_replace(name, r"^file:/*", "/")), f"^{base}/?", "")
