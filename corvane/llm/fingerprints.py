@@ -17,7 +17,7 @@ matches of a group of near copies connect it, rather than listing all pairs.
 
 Defined cases: null doc_id: row ignored. Null or empty text or text without
 words: null fingerprint, no matches. Fewer than ``size`` words: one shingle of
-all. Repeated rows of one doc_id: one of them counts. Other columns are
+all. Repeated rows of one doc_id: one result row; of differing texts any may match. Other columns are
 ignored. Empty table: empty result.
 """
 
@@ -114,19 +114,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, type=pa.float64())], ["a", "b", "jaccard"])
 
 
-def near_pairs(docs: DataFrame, signed: DataFrame, bands: int, rows: int, size: int, least: float) -> DataFrame:
-    """(a, b, jaccard), a < b, of representatives that match; see the module."""
+def near_pairs(docs: DataFrame, signed: DataFrame, copies: DataFrame, bands: int, rows: int, size: int, least: float) -> DataFrame:
+    """(a, b, jaccard), a < b, of representatives that match; see the module.
+
+    copies (doc_id): documents with the words of a lesser one. They share all
+    buckets with it, so they are never the least of a bucket, and go after that.
+    """
     buckets = signed.select("doc_id", "fingerprint").mapInArrow(_buckets(bands, rows), "bucket long, doc_id long")
-    met = cut(buckets.withColumn("low", F.min("doc_id").over(W.partitionBy("bucket"))).where("doc_id <> low"))
+    met = cut(buckets.withColumn("low", F.min("doc_id").over(W.partitionBy("bucket"))).where("doc_id <> low").join(copies, "doc_id", "left_anti"))
     first = cut(met.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())
     ids = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    grams = cut(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "doc_id long, grams binary"))
+    grams = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, grams binary"))
 
     def compared(pairs: DataFrame) -> DataFrame:
         x = grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
         y = grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
-        return cut(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, jaccard double"))
+        met = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, jaccard double")
+        # Only repeated rows of one doc_id give a pair twice.
+        return cut(met.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")))
 
     got = compared(first)
     failed = got.where(F.col("jaccard") < least).select(F.col("a").alias("low"), F.col("b").alias("doc_id"))
@@ -141,8 +147,7 @@ def fingerprints(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: in
     signed = cut(docs.mapInArrow(_sign(bands, rows, size, seed), "doc_id long, k1 long, k2 long, n_shingles long, fingerprint binary"))
     same = signed.where("fingerprint is not null").select("doc_id", "k1", "k2").withColumn("rep", F.min("doc_id").over(W.partitionBy("k1", "k2")))
     copies = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
-    alone = signed.where("fingerprint is not null").join(copies.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    pairs = near_pairs(docs, alone, bands, rows, size, least).unionByName(copies)
+    pairs = near_pairs(docs, signed.where("fingerprint is not null"), copies.select(F.col("b").alias("doc_id")).distinct(), bands, rows, size, least).unionByName(copies)
     matches = pairs.groupBy(F.col("b").alias("doc_id")).agg(F.sort_array(F.collect_set(F.struct(F.col("a").alias("doc_id"), "jaccard"))).alias("matches"))
     return signed.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "fingerprint").join(matches, "doc_id", "left")
 
