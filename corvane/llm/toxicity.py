@@ -4,8 +4,8 @@ Features are words and their stems (first ``STEM`` bytes), hashed to 2**22
 places, with the value log(1 + count). One
 vector of weights w serves all grades: P(grade >= k) = sigmoid(w.x - cut_k), with
 rising cuts. It is fitted by accelerated proximal gradient steps on the mean
-log-likelihood with an L1 penalty, so nearly all weights are zero and ordinary
-words of long texts add nothing. Where labels are only 0 and 1, ``grade_labels``
+log-likelihood with an L1 penalty of ``L1`` * sqrt(log(features) / rows), so
+nearly all weights are zero and ordinary words of long texts add nothing. Where labels are only 0 and 1, ``grade_labels``
 makes severity grades of them: a binary fit comes first, and the toxic documents
 are split where the summed count of its positively weighted words passes the
 thirds of that sum among them.
@@ -36,7 +36,7 @@ from . import textkernel as tk
 from .cluster import narrow
 from .sampled_labels import labelled
 
-BITS, STEM, MAX_TRAIN, L1, STEPS, GRADES = 22, 6, 6_000, 5e-4, 400, 3
+BITS, STEM, MAX_TRAIN, L1, STEPS, GRADES = 22, 6, 6_000, 0.0115, 400, 3
 _U = np.uint64
 
 
@@ -85,6 +85,7 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray
     at_least = (grade[:, None] >= np.arange(1, top + 1)[None, :]).astype(float)
     share = np.clip(at_least.mean(0), 1e-4, 1 - 1e-4)
     cuts = -np.log(share / (1 - share))
+    penalty = l1 * (np.log(max(f, 2)) / n) ** 0.5
     w, old = np.zeros(f), np.zeros(f)
     rate = 4.0 / max(1e-9, _norm(row, col, value, n, f) / n * top)
     for step in range(steps):
@@ -94,7 +95,7 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray
         off = _sigmoid(s[:, None] - cuts[None, :]) - at_least
         g = np.bincount(col, off.sum(1)[row] * value, minlength=f) / n
         old, w = w, v - rate * g
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
         curve = np.maximum((_sigmoid(s[:, None] - cuts) * (1 - _sigmoid(s[:, None] - cuts))).mean(0), 1e-3)
         cuts = np.maximum.accumulate(cuts + 0.5 * off.mean(0) / curve)
     used = w != 0
