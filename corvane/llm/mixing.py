@@ -105,13 +105,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     # All slots of one block travel together, so that its text is cut and sent once.
     uses = plan.groupBy("source", "block").agg(F.collect_list(F.struct("slot", "epoch")).alias("uses"))
     wanted = pieces.join(uses, ["source", "block"]).select("doc_id", "__text", "block", "uses", "start_word", "end_word", "n", F.struct("__key", "doc_id").alias("__order"))
-    by_doc = wanted.groupBy("doc_id", "__text").agg(F.collect_list(F.struct("block", "uses", "start_word", "end_word", "n", "__order")).alias("p"))
+    by_doc = wanted.groupBy("doc_id", "__text").agg(F.collect_list(F.struct("block", "uses", "start_word", "end_word", "n", "__order")).alias("__p"))
     # A document whose text is needed whole is not taken apart.
-    whole = F.expr("size(p) = 1 and p[0].end_word - p[0].start_word = p[0].n")
+    whole = F.expr("size(__p) = 1 and __p[0].end_word - __p[0].start_word = __p[0].n")
     lead = docs.withColumn("__text", F.xxhash64("text")).join(by_doc, ["doc_id", "__text"]).dropDuplicates(["doc_id"]).drop("__text")
     words = F.when(~whole, F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)))
-    out = lead.withColumn("__words", words).withColumn("p", F.explode("p"))
-    part = F.when(F.col("__words").isNull(), F.col("text")).otherwise(F.array_join(F.slice("__words", (F.col("p.start_word") + 1).cast("int"), (F.col("p.end_word") - F.col("p.start_word")).cast("int")), ""))
-    out = out.withColumn("text", part).drop("__words").withColumn("use", F.explode("p.uses"))
+    out = lead.withColumn("__words", words).withColumn("__p", F.explode("__p"))
+    part = F.when(F.col("__words").isNull(), F.col("text")).otherwise(F.array_join(F.slice("__words", (F.col("__p.start_word") + 1).cast("int"), (F.col("__p.end_word") - F.col("__p.start_word")).cast("int")), ""))
+    out = out.withColumn("text", part).drop("__words").withColumn("__use", F.explode("__p.uses"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
-    return out.select(F.col("use.slot").alias("slot"), "source", F.col("p.block").alias("block"), F.col("use.epoch").alias("epoch"), "doc_id", F.col("p.start_word").alias("start_word"), F.col("p.end_word").alias("end_word"), "text", *[F.col(f"`{c}`") for c in rest])
+    return out.select(F.col("__use.slot").alias("slot"), "source", F.col("__p.block").alias("block"), F.col("__use.epoch").alias("epoch"), "doc_id", F.col("__p.start_word").alias("start_word"), F.col("__p.end_word").alias("end_word"), "text", *[F.col(f"`{c}`") for c in rest])
