@@ -252,11 +252,11 @@ def _cells(parts: list[tuple[np.ndarray, int]]):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)
-                s1 = b.column(1).to_numpy().view(_U)
+                s1 = b.column(0).to_numpy().view(_U)
                 cell = [((_keys(s1, bits)[:, None] ^ m) * _U(16) + _U(i)).ravel() for i, ((bits, _), m) in enumerate(zip(parts, masks, strict=True))]
                 row = np.concatenate([np.repeat(np.arange(len(s1)), len(m)) for m in masks])
                 rest = b.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).view(np.int64)), *rest.columns], ["cell", "id", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).view(np.int64)), *rest.columns], ["cell", "s1", "s2"])
 
     return send
 
@@ -296,16 +296,16 @@ def _search(tau: int, tau_all: int):
             cell = cols[0]
             at = np.flatnonzero(np.diff(cell)) + 1
             at = np.concatenate([[0], at, [len(cell)]])
-            a, b = [], []
+            a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if j - i > 1:
-                    x, y = _linked(cols[1][i:j], cols[2][i:j].view(_U), cols[3][i:j].view(_U), tau, tau_all)
+                    x, y = _linked(np.arange(i, j), cols[1][i:j].view(_U), cols[2][i:j].view(_U), tau, tau_all)
                     if len(x):
                         a.append(x)
                         b.append(y)
-            none = np.zeros(0, dtype=np.int64)
-            edges = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], ["a", "b"])
+            x, y = np.concatenate(a), np.concatenate(b)
+            edges = np.unique(np.stack([cols[1][x], cols[2][x], cols[1][y], cols[2][y]], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(edges[:, k].copy()) for k in range(4)], ["a1", "a2", "b1", "b2"])
 
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
@@ -313,15 +313,15 @@ def _search(tau: int, tau_all: int):
                 continue
             turn = int(np.searchsorted(cols[0], cols[0][-1]))
             if turn:
-                done = [np.concatenate([*(x[k] for x in left), cols[k][:turn]]) for k in range(4)]
+                done = [np.concatenate([*(x[k] for x in left), cols[k][:turn]]) for k in range(3)]
                 yield settle(done)
                 left = []
             elif left and left[-1][0][-1] != cols[0][0]:
-                yield settle([np.concatenate([x[k] for x in left]) for k in range(4)])
+                yield settle([np.concatenate([x[k] for x in left]) for k in range(3)])
                 left = []
             left.append([c[turn:] for c in cols])
         if left:
-            yield settle([np.concatenate([x[k] for x in left]) for k in range(4)])
+            yield settle([np.concatenate([x[k] for x in left]) for k in range(3)])
 
     return search
 
@@ -334,7 +334,10 @@ def groups(docs: DataFrame, tau: int = TAU, tau_all: int = TAU_ALL, id_col: str
     sigs = cut(signatures(docs, id_col, text_col).groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("s")).select("doc_id", "s.s1", "s.s2"))
     points = cut(sigs.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")).select("id", "s1", "s2"))
     parts = plan(points, tau)
-    edges = points.mapInArrow(_cells(parts), "cell long, id long, s1 long, s2 long").repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(tau, tau_all), "a long, b long")
+    # Signatures are distinct, so they travel without ids, which the few edges get afterwards.
+    met = points.select("s1", "s2").mapInArrow(_cells(parts), "cell long, s1 long, s2 long").repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(tau, tau_all), "a1 long, a2 long, b1 long, b2 long")
+    named = [points.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("id").alias(x)) for x in "ab"]
+    edges = met.join(named[0], ["a1", "a2"]).join(named[1], ["b1", "b2"]).select("a", "b")
     roots = components(edges)
     return (
         sigs.join(points, ["s1", "s2"])
