@@ -5,14 +5,17 @@ places, with the value log(1 + count). One
 vector of weights w serves all grades: P(grade >= k) = sigmoid(w.x - cut_k), with
 rising cuts. It is fitted by accelerated proximal gradient steps on the mean
 log-likelihood with an L1 penalty of ``L1`` * sqrt(log(features) / rows), so
-nearly all weights are zero and ordinary words of long texts add nothing. Where labels are only 0 and 1, ``grade_labels``
+nearly all weights are zero and ordinary words of long texts add nothing. What
+has a weight is fitted again with the much smaller penalty ``RELAXED``, since
+the first one shrinks sure signs too. Where labels are only 0 and 1, ``grade_labels``
 makes severity grades of them: a binary fit comes first, and the toxic documents
 are split where the summed count of its positively weighted words passes the
 thirds of that sum among them.
 
 Result: one row per document (doc_id, expected_severity, grade, p_toxic,
 toxic): sum over k of P(grade >= k), the likeliest grade, P(grade >= 1), and
-whether that is at least 0.5.
+whether that reaches the limit at which F1 is best on the labelled rows, each
+judged by a model fitted on the other half of them.
 
 Defined cases: null doc_id: row ignored. Null or empty text, or text without
 words: scored by the cuts alone. Repeated rows: a row each. Other columns are
@@ -36,7 +39,8 @@ from . import textkernel as tk
 from .cluster import narrow
 from .sampled_labels import labelled
 
-BITS, STEM, MAX_TRAIN, L1, STEPS, GRADES = 22, 6, 6_000, 0.0115, 400, 3
+BITS, STEM, MAX_TRAIN, L1, STEPS, GRADES = 22, 6, 4_000, 0.04, 600, 3
+RELAXED, SELECT_STEPS = 0.0003, 150
 _U = np.uint64
 
 
@@ -49,6 +53,7 @@ class OrdinalModel:
     places: np.ndarray  # sorted feature places with a weight
     weights: np.ndarray
     cuts: np.ndarray  # rising
+    limit: float = 0.5  # P(grade >= 1) from which a document is toxic
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ..., one row per score."""
@@ -69,8 +74,14 @@ def word_counts(w: tk.Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray,
     return (key >> _U(bits)).astype(np.int64), (key & _U((1 << bits) - 1)).astype(np.int64), n
 
 
-def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, l1: float = L1, steps: int = STEPS) -> OrdinalModel:
-    """Weights shared by all grades, and one cut for each grade above the least that occurs."""
+def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, l1: float = L1, steps: int = STEPS, relaxed: float | None = RELAXED) -> OrdinalModel:
+    """Weights shared by all grades, and one cut for each grade above the least that occurs.
+
+    relaxed: the penalty of the second fit, of what the first one chose; None leaves it out.
+    """
+    if relaxed is not None:
+        chosen = np.isin(place, fit(row, place, value, grade, l1, SELECT_STEPS, None).places)
+        return fit(row[chosen], place[chosen], value[chosen], grade, relaxed, steps, None)
     top = int(grade.max(initial=0))
     none = np.zeros(0, dtype=np.int64)
     if top < 1 or len(np.unique(grade)) < 2:
@@ -141,8 +152,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
     y = got.column("y").to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False)) if len(y) else np.zeros(0, dtype=np.int64)
     place, n = (got.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("place", "n"))
+    del got, lists
     grade = y if graded else grade_labels(row, place, n, y)
-    return fit(row, place, np.log1p(n), grade)
+    value = np.log1p(n)
+    del n
+    p = held_out(row, place, value, grade)
+    model = fit(row, place, value, grade)
+    return OrdinalModel(model.places, model.weights, model.cuts, best_limit(p, y > 0) if len(y) else 0.5)
+
+
+def held_out(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """P(grade >= 1) of each row by the model fitted on the other half of the rows."""
+    out, half = np.zeros(len(grade)), np.arange(len(grade)) % 2
+    for k in (0, 1):
+        mine, nth = half == k, np.cumsum(half == k) - 1
+        own = mine[row]
+        model = fit(nth[row[own]], place[own], value[own], grade[mine])
+        at = np.flatnonzero(~own & np.isin(place, model.places))
+        raw = np.bincount(row[at], value[at] * model.weights[np.searchsorted(model.places, place[at])], minlength=len(grade)) if len(at) else np.zeros(len(grade))
+        out[~mine] = model.above(raw)[~mine, 0]
+    return out
+
+
+def best_limit(p: np.ndarray, toxic: np.ndarray) -> float:
+    """Middle of the gap in p that gives the best F1, the widest such gap; 0.5 where there is nothing to tell apart."""
+    if not toxic.any() or toxic.all():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    q, hits = p[order], np.cumsum(toxic[order])
+    gap = np.append(q[:-1] - q[1:], 0)
+    f1 = np.where(gap > 0, 2 * hits / (np.arange(1, len(q) + 1) + toxic.sum()), 0)
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    k = best[np.argmax(gap[best])]
+    return float((q[k] + q[k + 1]) / 2) if gap[k] > 0 else 0.5
 
 
 def score_rows(w: tk.Words, model: OrdinalModel, bits: int = BITS) -> np.ndarray:
@@ -170,7 +212,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             for part in tk.slices(batch, text_col):
                 p = model.above(score_rows(tk.words(part.column(1)), model))
                 each = np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1), axis=1)
-                cols = [part.column(0).cast(pa.int64()), pa.array(p.sum(1)), pa.array(np.argmin(each, axis=1).astype(np.int32)), pa.array(p[:, 0].copy()), pa.array(p[:, 0] >= 0.5)]
+                cols = [part.column(0).cast(pa.int64()), pa.array(p.sum(1)), pa.array(np.argmin(each, axis=1).astype(np.int32)), pa.array(p[:, 0].copy()), pa.array(p[:, 0] >= model.limit)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
 
     return narrow(docs, id_col, text_col).mapInArrow(make, SCHEMA)
@@ -187,7 +229,7 @@ def reject_by(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text
         col = pa.array(text, type=pa.large_string(), from_pandas=True)
         out = []
         for part in tk.slices(pa.RecordBatch.from_arrays([col], ["text"]), "text"):
-            out.append(model.above(score_rows(tk.words(part.column(0)), model))[:, 0] < 0.5)
+            out.append(model.above(score_rows(tk.words(part.column(0)), model))[:, 0] < model.limit)
         return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=bool))
 
     return docs.where(clean(F.col(text_col)))
