@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SHARDS, SEED = 16, 11
+#: Rows of a shard, unless the number of shards is given: shards don't grow with the table.
+SHARD_ROWS, SEED = 8_192, 11
 _EXACT = 1_000_000_000  # numpy's own generator draws below this many rows
 
 
@@ -93,7 +94,7 @@ def matrix_row(sizes: np.ndarray, shards: np.ndarray, partition: int, seed: int)
     return left
 
 
-def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def shuffle(df: DataFrame, shards: int | None = None, seed: int = SEED, shard_rows: int = SHARD_ROWS) -> DataFrame:
     names = [c for c in df.columns if c.lower() not in ("shard", "position")]
     df = df.select(*[F.col(f"`{c}`") for c in names])
     numbered = df.withColumn("__corvane_at", F.monotonically_increasing_id())
@@ -103,6 +104,7 @@ def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     for r in counted:
         sizes[r.p] = r.n
     n = int(sizes.sum())
+    shards = max(1, -(-n // shard_rows)) if shards is None else shards
     capacity = np.array([n // shards + (k < n % shards) for k in range(shards)], dtype=np.int64)
 
     @F.pandas_udf("struct<shard:int,key:long>")
