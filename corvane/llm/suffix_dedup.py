@@ -5,12 +5,12 @@ longest run of words of a document all of whose windows of ``least`` words also
 occur in the document first_doc_id, the least doc_id that has them. Rows are
 given for the documents that repeat an earlier one; that one keeps its passage.
 
-Which text a shard gets: a passage of ``least`` words holds one of its runs of
-``k`` words chosen by least hash (winnowing), the same in every copy. Chosen
-runs that occur in one document only can't lie in a repeated passage. For the
-others, ``least`` - k words more on either side go to a shard named by the set
-of documents that share the run, so all copies of a passage meet, and the runs
-of a longer passage meet as one stretch. Each shard then sorts all suffixes by
+Which text a shard gets: every window of ``least`` words chooses the one of its
+runs of ``k`` words that has the least hash (winnowing), and so does every copy
+of the window. Windows whose chosen run occurs in one document only don't
+repeat. The others go to a shard named by the set of documents that share the
+run, so all copies of a window meet in one shard, and the windows of a longer
+passage go together as one stretch. Each shard then sorts all suffixes by
 induced sorting, computes permuted common prefixes, and reads repeated windows
 off the runs of the suffix array. Nothing is sampled or capped.
 
@@ -40,14 +40,15 @@ LEAST, K, SHARD_WORDS = 50, 30, 400_000
 _U = np.uint64
 
 
-def winnow(w: tk.Words, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (of all words) of the chosen runs of k words, and their hashes.
+def winnow(w: tk.Words, least: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the chosen runs of k words, and the first and last start (among all words) of the windows that choose each.
 
-    In every ``least`` words of one row, the first of the runs of least hash is chosen.
+    A window of ``least`` words of one row chooses the first of its runs of least hash.
     """
     n = len(w.hash)
-    if n < k:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U)
+    if n < least:
+        none = np.zeros(0, dtype=np.int64)
+        return none.view(_U), none, none
     # Hash of k words by doubling: k is written as a sum of powers of two.
     block, size, run, have = w.hash, 1, None, 0
     left = k
@@ -72,9 +73,12 @@ def winnow(w: tk.Words, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         other = np.concatenate([best[step:], np.repeat(best[-1], min(step, n))])[:n]
         best = np.where(run[other] < run[best], other, best)
         reach += step
-    chosen = np.unique(best[at + least <= row_end])
-    chosen = chosen[run[chosen] != none]
-    return chosen, run[chosen]
+    start = np.flatnonzero(at + least <= row_end)
+    turn = np.ones(len(start), dtype=bool)
+    turn[1:] = (best[start[1:]] != best[start[:-1]]) | (start[1:] != start[:-1] + 1)
+    head = np.flatnonzero(turn)
+    tail = np.append(head[1:], len(start)) - 1
+    return run[best[start[head]]], start[head], start[tail]
 
 
 def _fingerprints(least: int, k: int, text: str):
@@ -83,11 +87,11 @@ def _fingerprints(least: int, k: int, text: str):
             for part in tk.slices(batch, text):
                 w = tk.words(part.column(1))
                 k1, k2 = tk.sequence_keys(w)
-                at, run = winnow(w, least, k)
-                row = np.searchsorted(w.first, at, side="right") - 1
-                first = np.searchsorted(at, w.first).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(x)) for x in (run.view(np.int64), (at - w.first[row]).astype(np.int32))]
-                out = pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(k1), pa.array(k2), pa.array(w.counts), *lists], ["doc_id", "k1", "k2", "n", "fp", "pos"])
+                run, lo, hi = winnow(w, least, k)
+                row = np.searchsorted(w.first, lo, side="right") - 1
+                first = np.searchsorted(lo, w.first).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(x)) for x in (run.view(np.int64), (lo - w.first[row]).astype(np.int32), (hi - lo).astype(np.int32))]
+                out = pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(k1), pa.array(k2), pa.array(w.counts), *lists], ["doc_id", "k1", "k2", "n", "fp", "lo", "more"])
                 yield out.filter(pa.array(w.counts >= least))
 
     return make
@@ -176,26 +180,25 @@ def _shard(least: int):
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     docs = narrow(docs, id_col, text_col).withColumnsRenamed({id_col: "doc_id", text_col: "text"})
-    marks = cut(docs.mapInArrow(_fingerprints(least, k, "text"), "doc_id long, k1 long, k2 long, n long, fp array<long>, pos array<int>"))
+    marks = cut(docs.mapInArrow(_fingerprints(least, k, "text"), "doc_id long, k1 long, k2 long, n long, fp array<long>, lo array<int>, more array<int>"))
     same = W.partitionBy("k1", "k2")
     ranked = marks.select("doc_id", "k1", "k2", "n").withColumn("rep", F.min("doc_id").over(same))
     copies = ranked.where("doc_id <> rep").select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.col("rep").alias("first_doc_id")).distinct()
-    hits = marks.join(ranked.where("doc_id <> rep").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("fp", "pos")).alias("x")).select("doc_id", "x.fp", "x.pos")
+    hits = marks.join(ranked.where("doc_id <> rep").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("fp", "lo", "more")).alias("x")).select("doc_id", "x.*")
     among = W.partitionBy("fp")
     shared = (
         hits.withColumns({"low": F.min("doc_id").over(among), "high": F.max("doc_id").over(among), "docs": F.sum(F.xxhash64("doc_id").bitwiseAND(0xFFFFFFFFFF)).over(among)})
         .where("low <> high")
-        .select("doc_id", "pos", F.xxhash64("docs", "low", "high").alias("team"))
+        .select("doc_id", "lo", (F.col("lo") + F.col("more")).alias("hi"), F.xxhash64("docs", "low", "high").alias("team"))
     )
-    # Stretches of one document and team: a gap starts a new one.
-    by = W.partitionBy("doc_id", "team").orderBy("pos")
-    extra = least - k
+    # Stretches of one document and team: windows that start side by side. No other window lies in a stretch.
+    by = W.partitionBy("doc_id", "team").orderBy("lo")
     spans = cut(
-        shared.withColumn("gap", F.coalesce(F.col("pos") - F.lag("pos").over(by) > k + 2 * extra, F.lit(True)).cast("int"))
+        shared.withColumn("gap", F.coalesce(F.col("lo") > F.lag("hi").over(by) + 1, F.lit(True)).cast("int"))
         .withColumn("stretch", F.sum("gap").over(by))
         .groupBy("doc_id", "team", "stretch")
-        .agg((F.min("pos") - extra).alias("lo"), (F.max("pos") + k + extra).alias("hi"))
-        .select("doc_id", "team", F.greatest("lo", F.lit(0)).alias("lo"), "hi")
+        .agg(F.min("lo").alias("lo"), (F.max("hi") + least).alias("hi"))
+        .drop("stretch")
     )
     total = spans.agg(F.sum(F.col("hi") - F.col("lo"))).first()[0] or 0
     shards = total // shard_words + 1
