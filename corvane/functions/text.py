@@ -95,7 +95,7 @@ def porcelain_path(line: Column) -> Column:
     return F.translate(F.element_at(F.split(path, " -> "), -1), "\\", "/")
 
 
-_PRUNED = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".turbo", ".cache", "out", "tmp", ".svelte-kit", ".nuxt", ".output", "vendor")
+_PRUNED = tuple("build coverage dist node_modules storybook-static __pycache__ __tests__ .cache .git .next .parcel-cache .turbo .vite .vite-temp".split())
 
 
 def pruned(path: Column, names: tuple[str, ...] = _PRUNED) -> Column:
