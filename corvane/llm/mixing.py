@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     by_doc = wanted.groupBy("doc_id", "__text").agg(F.collect_list(F.struct("block", "uses", "start_word", "end_word", "n", "__order")).alias("__p"))
     # A document whose text is needed whole is not taken apart.
     whole = F.expr("size(__p) = 1 and __p[0].end_word - __p[0].start_word = __p[0].n")
-    lead = docs.withColumn("__text", F.xxhash64("text")).join(by_doc, ["doc_id", "__text"]).dropDuplicates(["doc_id"]).drop("__text")
+    lead = docs.withColumn("__text", F.xxhash64("text")).join(by_doc, ["doc_id", "__text"]).dropDuplicates(["doc_id", "__text"]).drop("__text")
     words = F.when(~whole, F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)))
     out = lead.withColumn("__words", words).withColumn("__p", F.explode("__p"))
     part = F.when(F.col("__words").isNull(), F.col("text")).otherwise(F.array_join(F.slice("__words", (F.col("__p.start_word") + 1).cast("int"), (F.col("__p.end_word") - F.col("__p.start_word")).cast("int")), ""))
