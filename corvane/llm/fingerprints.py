@@ -4,9 +4,9 @@ A fingerprint holds ``bands * rows`` minima, each of one universal hash
 (a * x + b mod 2**64, high half) over all shingles of ``size`` words. Documents
 whose signatures agree in a band meet in a bucket. Each member of a bucket is
 paired with the bucket's least doc_id, and the exact Jaccard similarity of
-their sets of shingles is computed; members that fail against it are all paired
-with one another, so no candidate of a bucket is left without an exact
-comparison, by way of the least member or directly. Matches of documents with
+their sets of shingles is computed; a member that fails against it is paired
+with every other member of the bucket, those that passed included. So only two
+that both match the least member are not compared, and its matches connect them. Matches of documents with
 the same words are found by equality. With 20 bands of 5 rows a pair at
 similarity 0.7 meets with probability 0.975, and more above.
 
@@ -136,9 +136,9 @@ def near_pairs(docs: DataFrame, signed: DataFrame, copies: DataFrame, bands: int
 
     got = compared(first)
     failed = got.where(F.col("jaccard") < least).select(F.col("a").alias("low"), F.col("b").alias("doc_id"))
-    rest = cut(met.join(failed, ["low", "doc_id"]).select("bucket", "doc_id"))
-    other = rest.select("bucket", F.col("doc_id").alias("b"))
-    again = rest.select("bucket", F.col("doc_id").alias("a")).join(other, "bucket").where("a < b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    rest = cut(met.join(failed, ["low", "doc_id"]).select("bucket", F.col("doc_id").alias("x")))
+    pair = rest.join(met.select("bucket", F.col("doc_id").alias("y")), "bucket").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    again = pair.distinct().join(first, ["a", "b"], "left_anti")
     return got.unionByName(compared(again)).where(F.col("jaccard") >= least)
 
 

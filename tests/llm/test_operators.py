@@ -53,6 +53,26 @@ def test_fingerprints_against_all_pairs(docs, corpus):
     assert got[170].fingerprint is None and got[171].matches is None and len(got[0].fingerprint) == 400
 
 
+def test_variants_meet_an_original_that_is_not_the_least(spark):
+    """Variants are alike to the original only, whose doc_id is the middle one."""
+    rng = random.Random(5)
+    original = [f"o{i}" for i in range(400)]
+    rows = [(1150, " ".join(original))]
+    for i in [*range(1000, 1150), *range(1151, 1301)]:
+        at = set(rng.sample(range(2, 398, 4), 16))
+        rows.append((i, " ".join(f"v{i}x{k}" if k in at else w for k, w in enumerate(original))))
+    texts = dict(rows)
+    variants = sorted(set(texts) - {1150})
+    assert all(fingerprints.jaccard(texts[i], texts[1150]) >= 0.78 for i in variants)
+    assert sum(fingerprints.jaccard(texts[1000], texts[i]) < 0.7 for i in variants) > 290
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = {(m.doc_id, r.doc_id) for r in got for m in r.matches or ()}
+    assert all(fingerprints.jaccard(texts[a], texts[b]) >= 0.7 for a, b in found)
+    linked = roots(found)
+    assert sum(linked.get(i) == linked[1150] for i in variants) >= 298
+    assert sum((min(i, 1150), max(i, 1150)) in found for i in variants) >= 295
+
+
 def test_minima_are_of_universal_hashes():
     w = tk.words(pa.array(["a b c d", "", "x"]))
     a, b = fingerprints.permutations(10)
