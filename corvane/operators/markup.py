@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 LCS_CAP, SUBSTRING_CAP, DEPTH_CAP = 800, 1200, 50
 STYLE_CONFIDENCE = 0.4
@@ -37,7 +37,11 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
     def size(self) -> int:
-        return 1 + sum(c.size() for c in self.children)
+        n, todo = 0, [self]
+        while todo:
+            n += 1
+            todo += todo.pop().children
+        return n
 
 
 _NOISE = [re.compile(p) for p in (r"\{/\*[\s\S]*?\*/\}", r"<!--[\s\S]*?-->", r"""\{['"`]\s*['"`]\}""", r"\{\s*\\n\s*\}")]
@@ -217,13 +221,23 @@ def _key(k: str, c: Config, attr: bool = False) -> str:
 
 
 def normal(n: Node, c: Config) -> Node:
-    return Node(
-        n.tag.lower() if c.case else n.tag,
-        [(s, _key(k, c), _value(v, c)) for s, k, v in n.styles],
-        [(_key(k, c, True), _value(v, c)) for k, v in n.attrs],
-        [t for t in (_value(t, c) for t in n.text) if t],
-        [normal(x, c) for x in n.children],
-    )
+    """A copy in normal form; without recursion, as whole pages can nest as deep as they are long."""
+
+    def one(x: Node) -> Node:
+        return Node(
+            x.tag.lower() if c.case else x.tag,
+            [(s, _key(k, c), _value(v, c)) for s, k, v in x.styles],
+            [(_key(k, c, True), _value(v, c)) for k, v in x.attrs],
+            [t for t in (_value(t, c) for t in x.text) if t],
+        )
+
+    out = one(n)
+    todo = [(n, out)]
+    while todo:
+        x, y = todo.pop()
+        y.children = [one(k) for k in x.children]
+        todo += zip(x.children, y.children, strict=True)
+    return out
 
 
 def _style_token(styles: list[tuple[str, str, str | None]], mode: str) -> str:
@@ -263,7 +277,7 @@ def _sampled(s: str) -> str:
     return s if len(s) <= LCS_CAP else s[:: -(-len(s) // LCS_CAP)]
 
 
-@cache
+@lru_cache(maxsize=1 << 15)
 def lcs_length(a: str, b: str) -> int:
     """Longest common subsequence, by bits of one integer for the rows of the table."""
     a, b = _sampled(a), _sampled(b)
@@ -328,36 +342,67 @@ def weights(level: int) -> dict[str, float]:
     return {n: WEIGHTS[n] / total for n in names}
 
 
-def node_score(a: Node, b: Node, sig_a: str, sig_b: str, c: Config) -> float:
+def structure_similarity(a: str, b: str) -> float:
+    """The greater of both; a common substring is a common subsequence, so only sampled texts need the former."""
+    out = lcs_similarity(a, b)
+    return out if max(len(a), len(b)) <= LCS_CAP else max(out, substring_similarity(a, b))
+
+
+def node_score(a: Node, b: Node, sig_a: str, sig_b: str, c: Config, least: float = 0.0) -> float:
+    """Score of two nodes; 0 if the lengths of their signatures already keep it below ``least``."""
     w = weights(c.level)
-    out = w["structure"] * max(lcs_similarity(sig_a, sig_b), substring_similarity(sig_a, sig_b))
     style, sure = style_similarity(a.styles, b.styles) if c.styles else (0.0, False)
-    out += w.get("style", 0) * (style if sure else 0.0)
-    out += w["attr"] * attr_similarity(a.attrs, b.attrs) if "attr" in w else 0.0
-    out += w["text"] * lcs_similarity(" ".join(a.text), " ".join(b.text)) if "text" in w else 0.0
+    parts = [w.get("style", 0) * (style if sure else 0.0)]
+    parts.append(w["attr"] * attr_similarity(a.attrs, b.attrs) if "attr" in w else 0.0)
+    parts.append(w["text"] * lcs_similarity(" ".join(a.text), " ".join(b.text)) if "text" in w else 0.0)
+    most = 2 * min(len(sig_a), len(sig_b)) / (len(sig_a) + len(sig_b)) if sig_a or sig_b else 1.0
+    if w["structure"] * most + sum(parts) < least - 1e-9:
+        return 0.0
+    out = w["structure"] * structure_similarity(sig_a, sig_b)
+    for p in parts:
+        out += p
     return out
 
 
 def nodes(root: Node) -> list[Node]:
-    out: list[Node] = [] if root.tag == "root" else [root]
-    for c in root.children:
-        out += nodes(c)
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.tag != "root":
+            out.append(n)
+        todo += reversed(n.children)
     return out
 
 
+@lru_cache(maxsize=256)
+def _prepared(src: str, c: Config) -> tuple[list[int], list[int], list[tuple[Node, str]]]:
+    """Of each node its subtree's size and the number of its kind; and of each kind a node and its signature.
+
+    Nodes of one kind agree in all that node_score looks at.
+    """
+    all_, known, kinds = nodes(normal(tree(src, c.style_as), c)), {}, []
+    kind = []
+    for n in all_:
+        sig = serial(n, c.level, c.match_mode)
+        key = (sig, tuple(n.styles), tuple(n.attrs), " ".join(n.text) if c.level == 3 else "")
+        if key not in known:
+            known[key] = len(kinds)
+            kinds.append((n, sig))
+        kind.append(known[key])
+    return [n.size() for n in all_], kind, kinds
+
+
 def compare(src_a: str, src_b: str, c: Config = Config()) -> int:
     """Confidence of two blocks: scores of greedily matched nodes, weighted by their subtrees, over all nodes."""
-    a, b = nodes(normal(tree(src_a, c.style_as), c)), nodes(normal(tree(src_b, c.style_as), c))
-    sig_a, sig_b = [serial(n, c.level, c.match_mode) for n in a], [serial(n, c.level, c.match_mode) for n in b]
-    scored = [(node_score(x, y, sig_a[i], sig_b[j], c), i, j) for i, x in enumerate(a) for j, y in enumerate(b)]
+    (size_a, kind_a, a), (size_b, kind_b, b) = _prepared(src_a, c), _prepared(src_b, c)
+    table = [[node_score(x, y, sig_x, sig_y, c, c.threshold) for y, sig_y in b] for x, sig_x in a]
+    scored = [(s, i, j) for i, x in enumerate(kind_a) for j, y in enumerate(kind_b) if (s := table[x][y]) >= c.threshold]
     scored.sort(key=lambda s: -s[0])
     used_a, used_b, total = set(), set(), 0.0
     for score, i, j in scored:
-        if score < c.threshold:
-            break
         if i not in used_a and j not in used_b:
             used_a.add(i)
             used_b.add(j)
-            m, n = a[i].size(), b[j].size()
+            m, n = size_a[i], size_b[j]
             total += score * (2 * m * n / (m + n))
-    return int(total / max(len(a) + len(b), 1) * 100 + 0.5)
+    return int(total / max(len(size_a) + len(size_b), 1) * 100 + 0.5)

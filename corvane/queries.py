@@ -366,16 +366,19 @@ def extension_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def markup_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of one host whose article lists are alike: signature in Python, candidates by joins, scores by greedy match."""
-    nav = F.regexp_extract("html", r"(<article>.*?<p>)", 1)
-    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("file"), F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("root"), nav.alias("body"))
+    """Whole pages of one host: signature in Python, candidates by joins, scores by greedy match."""
+    # Elements that HTML never closes would hold the rest of the page as their children.
+    html = F.regexp_replace("html", r"(?i)<(!doctype|area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b([^>]*?)\s*/?>", "<$1$2/>")
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("file"), F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("root"), html.alias("body"))
 
     @F.pandas_udf("string")
     def sign(body):
         return body.map(markup.signature)
 
-    signed = pages.withColumn("signature", sign("body")).where("body <> ''")
+    signed = pages.where("body <> ''").withColumn("signature", sign("body"))
     found = pairs.same_signature(signed).unionByName(pairs.similar_length(signed))
+    # One host may hold most of the pairs, and scoring costs far more than their shuffle.
+    found = found.select("a_id", "b_id", "a_body", "b_body").repartition(4 * spark.sparkContext.defaultParallelism, "a_id", "b_id")
     return blocks.scored(found, above=None).select("a_id", "b_id", "score")
 
 

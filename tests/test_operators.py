@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import queries
 from corvane.model import MARKER
 from corvane.operators import blocks, components, declarations, incremental, markup, pairs
 from corvane.operators.lines import explode_lines, loc, suppressed
@@ -200,3 +202,55 @@ def test_similar_length_against_all_pairs(spark):
     got = {(r.a_id, r.b_id) for r in pairs.similar_length(df).select("a_id", "b_id").collect()}
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and min(len(a[4]), len(b[4])) and min(len(a[4]), len(b[4])) / max(len(a[4]), len(b[4])) >= 0.55 and (not a[3] or not b[3] or a[3] != b[3])}
     assert got == want
+
+
+def test_markup_similarity_scores_whole_pages(spark, tmp_path):
+    """One title with other bodies, one body with other titles, a page without <article>, and a break before the first <p>."""
+    page = lambda title, body: f"<!DOCTYPE html><html><head><meta charset='utf-8'></head><body><article><h1>{title}</h1>{body}</article></body></html>"
+    words, table = "<p>some words<br>more words</p>" * 6, "<table>" + "<tr><td class='n'>1</td></tr>" * 8 + "</table><p>end</p>"
+    html = [page("one", words), page("one", table), page("another title", words), page("one", "\n" + words), f"<html><body><div>{words}</div></body></html>", "", None]
+    rows = [(i, f"http://h{h}.example.com/{i}", t) for h in range(2) for i, t in enumerate(html, 10 * h)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.a_id, r.b_id): r.score for r in queries.markup_similarity(spark, str(tmp_path)).collect()}
+    closed = {i: re.sub(r"<(!DOCTYPE|meta|br)([^>]*)>", r"<\1\2/>", t) for i, _, t in rows if t}
+    want = {}
+    for a in closed:
+        for b in closed:
+            x, y = closed[a], closed[b]
+            close = min(len(x), len(y)) / max(len(x), len(y)) >= pairs.RATIO
+            if a < b and a // 10 == b // 10 and (close or markup.signature(x) == markup.signature(y)):
+                want[a, b] = markup.compare(x, y)
+    assert got == want and len(want) == 20
+    assert got[0, 2] > got[0, 1] and (0, 3) in got and (0, 4) in got
+
+
+def test_scores_of_kinds_equal_scores_of_all_nodes():
+    """compare scores kinds of nodes once and skips those that can't reach the threshold: here, every pair of nodes."""
+
+    def plain(x, y, c):
+        a, b = (markup.nodes(markup.normal(markup.tree(t, c.style_as), c)) for t in (x, y))
+        sigs = [[markup.serial(n, c.level, c.match_mode) for n in t] for t in (a, b)]
+        w = markup.weights(c.level)
+
+        def score(m, n, s, t):
+            out = w["structure"] * max(markup.lcs_similarity(s, t), markup.substring_similarity(s, t))
+            style, sure = markup.style_similarity(m.styles, n.styles)
+            out += w.get("style", 0) * (style if sure else 0.0)
+            out += w["attr"] * markup.attr_similarity(m.attrs, n.attrs) if "attr" in w else 0.0
+            return out + (w["text"] * markup.lcs_similarity(" ".join(m.text), " ".join(n.text)) if "text" in w else 0.0)
+
+        every = sorted(((score(m, n, sigs[0][i], sigs[1][j]), i, j) for i, m in enumerate(a) for j, n in enumerate(b)), key=lambda s: -s[0])
+        used, total = (set(), set()), 0.0
+        for s, i, j in every:
+            if s >= c.threshold and i not in used[0] and j not in used[1]:
+                used[0].add(i)
+                used[1].add(j)
+                total += s * 2 * a[i].size() * b[j].size() / (a[i].size() + b[j].size())
+        return int(total / max(len(a) + len(b), 1) * 100 + 0.5)
+
+    rng = random.Random(4)
+    tag = lambda: rng.choice(["<p>x</p>", "<p>y", "<a href='/a'>t</a>", "<a href='/b'>", "</a>", "<div style={{color: 'red'}}>", "</div>", "<br/>", "<b class='k'>z</b>"])
+    texts = ["".join(tag() for _ in range(rng.choice([3, 20, 60]))) for _ in range(8)]
+    for c in (markup.Config(), markup.Config(level=3, style_as="S CS C"), markup.Config(level=1, match_mode="key-only")):
+        assert all(markup.compare(x, y, c) == plain(x, y, c) for x in texts for y in texts)
+    assert markup.signature("<p>x" * 3000).endswith("…") and len(markup.nodes(markup.normal(markup.tree("<p>x" * 3000), markup.Config()))) == 3000
