@@ -1,14 +1,16 @@
 """Benchmark items that occur in documents, within an edit distance.
 
 A window of as many words as the item has matches it if their word edit
-distance is at most k = floor(``ratio`` * words of the item). Result: one row
+distance is at most k = floor(``ratio`` * words of the item). Of a document with
+fewer words, but no more than k fewer, the whole text is the window. Result: one row
 (doc_id, item_id, distance, start_word, n_words) for each document and item
-that match, of the window of least distance, then least start.
+that match, of the window of least distance, then least start; n_words are the
+words of the window.
 
 Search: a window within k edits of an item of L words shares with it a run of
 floor(L / (k + 1)) words, by the pigeonhole principle, so windows that share no
 such run, k words shifted at most, are left out without loss. Windows that
-remain are embedded by the CGK random walk, under which edit distance becomes
+remain (whole texts shorter than the item are verified at once) are embedded by the CGK random walk, under which edit distance becomes
 Hamming distance: step j copies the word at the walk's place and moves on by a
 random bit that depends on j and the word. Bit-sampling LSH then asks that
 ``coordinates`` random places of the two embeddings agree, in at least one of R
@@ -19,7 +21,7 @@ passes is verified by the exact banded dynamic programme.
 The benchmark goes to every task in parts of at most ``ITEM_WORDS`` words, one
 scan of the documents for each part. Defined cases: null doc_id or item_id: row
 ignored. Null or empty texts, or texts without words, of either side: no match.
-Documents shorter than the item: no match. Equal items: a row for each. Repeated
+Documents more than k words shorter than the item: no match. Equal items: a row for each. Repeated
 rows of one doc_id: one row for an item. Other columns are ignored, whatever
 their names. Empty tables: empty result.
 """
@@ -69,8 +71,8 @@ def walk(text: np.ndarray, start: np.ndarray, size: np.ndarray, coords: np.ndarr
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Word edit distances of the rows of a to those of b (equal shapes), most + 1 where greater."""
-    n, size = a.shape
+    """Word edit distances of the rows of a to those of b (at most ``most`` columns apart), most + 1 where greater."""
+    (n, size), wide = a.shape, b.shape[1]
     big, width = most + 1, 2 * most + 1
     row = np.full((n, width), big, dtype=np.int16)
     for d in range(most, width):
@@ -79,7 +81,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         new = np.full((n, width), big, dtype=np.int16)
         for d in range(width):
             j = i + d - most
-            if 0 <= j <= size:
+            if 0 <= j <= wide:
                 best = np.full(n, big, dtype=np.int16)
                 if j:
                     best = row[:, d] + (a[:, i - 1] != b[:, j - 1])
@@ -89,7 +91,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
                     best = np.minimum(best, new[:, d - 1] + 1)
                 new[:, d] = np.minimum(best, big)
         row = new
-    return row[:, most].astype(np.int32)
+    return row[:, most + wide - size].astype(np.int32)
 
 
 class Items:
@@ -178,14 +180,21 @@ def _match(items: Items):
             shifts = 2 * k + 1
             src = np.repeat(np.arange(len(i)), shifts)
             start = start[src] + np.arange(len(src)) - np.repeat(np.cumsum(shifts) - shifts, shifts) - k[src]
+            whole, where = i, p
             i, hit = i[src], p[src]
             ok = (start >= row_first[hit]) & (start + items.size[i] <= row_end[hit])
             out.append(np.unique(i[ok] * (len(w.hash) + 1) + start[ok]))
+            have = row_end[where] - row_first[where]
+            ok = (have < items.size[whole]) & (have >= items.size[whole] - items.most[whole])
+            out.append(np.unique(whole[ok] * (len(w.hash) + 1) + row_first[where[ok]]))
         both = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
         return both // (len(w.hash) + 1), both % (len(w.hash) + 1)
 
-    def settle(w: tk.Words, i: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        open_, passed = np.arange(len(i)), []
+    def settle(w: tk.Words, i: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        row = np.searchsorted(w.first, start, side="right") - 1
+        have = np.minimum(w.first[row + 1] - start, items.size[i])
+        short = have < items.size[i]
+        open_, passed = np.flatnonzero(~short), [np.flatnonzero(short)]
         for r in range(items.many):
             got = walk(w.hash, start[open_], items.size[i[open_]], items.coords[r][i[open_]], int(items.seeds[r]))
             hit = (got == items.sample[r][i[open_]]).all(1)
@@ -193,15 +202,19 @@ def _match(items: Items):
             open_ = open_[~hit]
             if not len(open_):
                 break
-        at = np.sort(np.concatenate(passed)) if passed else open_
-        i, start = i[at], start[at]
+        at = np.sort(np.concatenate(passed))
+        i, start, have = i[at], start[at], have[at]
         d = np.empty(len(i), dtype=np.int32)
         for size in np.unique(items.size[i]).tolist():
             m = np.flatnonzero(items.size[i] == size)
             k = np.arange(size)
-            d[m] = edit_distance(w.hash[start[m][:, None] + k], items.hash[items.first[i[m]][:, None] + k], int(items.most[i[m[0]]]))
+            most = int(items.most[i[m[0]]])
+            item = items.hash[items.first[i[m]][:, None] + k]
+            for n in np.unique(have[m]).tolist():
+                x = have[m] == n
+                d[m[x]] = edit_distance(w.hash[start[m[x]][:, None] + k[:n]], item[x], most)
         ok = d <= items.most[i]
-        return i[ok], start[ok], d[ok]
+        return i[ok], start[ok], d[ok], have[ok]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,15 +222,15 @@ def _match(items: Items):
                 w = tk.words(part.column(1))
                 if not len(w.hash) or not len(items.id):
                     continue
-                i, start, d = settle(w, *windows(w))
+                i, start, d, have = settle(w, *windows(w))
                 row = np.searchsorted(w.first, start, side="right") - 1
                 order = np.lexsort((start, d, i, row))
-                i, start, d, row = i[order], start[order], d[order], row[order]
+                i, start, d, have, row = i[order], start[order], d[order], have[order], row[order]
                 new = np.ones(len(i), dtype=bool)
                 new[1:] = (i[1:] != i[:-1]) | (row[1:] != row[:-1])
-                i, start, d, row = i[new], start[new], d[new], row[new]
+                i, start, d, have, row = i[new], start[new], d[new], have[new], row[new]
                 ids = part.column(0).cast(pa.int64()).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(items.id[i]), pa.array(d), pa.array(start - w.first[row]), pa.array(items.size[i].astype(np.int32))], ["doc_id", "item_id", "distance", "start_word", "n_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(items.id[i]), pa.array(d), pa.array(start - w.first[row]), pa.array(have.astype(np.int32))], ["doc_id", "item_id", "distance", "start_word", "n_words"])
 
     return find
 
@@ -251,9 +264,10 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
         for j, u in items:
             v = tk.py_words(u)
             k = math.floor(len(v) * ratio + 1e-9)
-            for s in range(len(w) - len(v) + 1 if v else 0):
+            size = len(v) if len(w) >= len(v) else max(len(w), len(v) - k)
+            for s in range(len(w) - size + 1 if v else 0):
                 row = list(range(len(v) + 1))
-                for a in range(1, len(v) + 1):
+                for a in range(1, size + 1):
                     last, row[0] = row[0], a
                     for b in range(1, len(v) + 1):
                         last, row[b] = row[b], min(row[b] + 1, row[b - 1] + 1, last + (w[s + a - 1] != v[b - 1]))

@@ -196,6 +196,15 @@ def test_leaks_against_every_window(spark, leaky):
     assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
 
 
+def test_leaks_of_whole_texts_shorter_than_the_item(spark):
+    item = [f"i{k}" for k in range(30)]
+    texts = [(n, " ".join(w for k, w in enumerate(item) if k not in gone)) for n, gone in ((1, {4}), (3, {2, 11, 29}), (6, {0, 5, 10, 15, 20, 25}), (7, {0, 5, 10, 15, 20, 25, 28}))]
+    texts += [(20, " ".join(item[:2] + ["x"] + item[4:])), (21, " ".join(item)), (22, "i1 i2"), (23, " ".join(f"y{k}" for k in range(28)))]
+    got = {r.doc_id: (r.distance, r.start_word, r.n_words) for r in decontam.leaks(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {1: (1, 0, 29), 3: (3, 0, 27), 6: (6, 0, 24), 20: (2, 0, 29), 21: (0, 0, 30)}
+    assert {i: d for (i, _), d in decontam.brute_force(texts, [(1, " ".join(item))]).items()} == {i: (d, s) for i, (d, s, _) in got.items()}
+
+
 def test_leaks_in_parts(spark, leaky):
     items, texts = leaky
     d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
