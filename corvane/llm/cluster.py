@@ -7,13 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Ids up to this many are sent to every executor (at most about 64 MB of whole numbers); more go by shuffle.
+BROADCAST_IDS = 2_000_000
+#: Rows of one key that meet in one task of ``hot_join``.
+KEY_ROWS = 1_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, shared by all executors; one of this machine only where none is set, as in tests."""
+    """The checkpoint folder, shared by all executors. A folder of this machine stands in for it in local mode only."""
     context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvane-"))
         folder = context._jsc.sc().getCheckpointDir()
     return folder.get()
 
@@ -24,9 +32,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def id_type(df: DataFrame, name: str = "doc_id") -> str:
+    """SQL name of a column's type: ids may be of any type that has an order."""
+    return df.schema[name].dataType.simpleString()
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids marked for broadcast if they are at most ``BROADCAST_IDS``."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "inner", key_rows: int = KEY_ROWS) -> DataFrame:
+    """left joined with right, which has one row per key and, in ``n``, the number of left's rows of that key.
+
+    A key of more than ``key_rows`` rows is split by a hash of left's column
+    ``spread``. Such keys number at most left's rows / key_rows, which bounds
+    what is broadcast.
+    """
+    parts = F.ceil(F.col("n") / F.lit(key_rows)).cast("int")
+    hot = right.where(F.col("n") > key_rows).select(*keys, parts.alias("__parts"))
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(F.xxhash64(spread), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    right = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return left.join(right, [*keys, "__part"], how).drop("__part", "n")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in gone (doc_id); all columns stay, whatever their names, and rows with a null id too."""
+    key = "__corvane_gone"
+    while key in docs.columns:
+        key += "_"
+    return docs.join(few(gone.select(F.col("doc_id").alias(key)).distinct()), F.col(f"`{id_col}`") == F.col(key), "left_anti")
+
+
 def narrow(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table holds; rows with a null first column go."""
-    return docs.select(*names).where(F.col(names[0]).isNotNull())
+    return docs.select(*[F.col(f"`{n}`") for n in names]).where(F.col(f"`{names[0]}`").isNotNull())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
