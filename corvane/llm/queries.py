@@ -66,14 +66,15 @@ WITH d AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+'
 t AS (SELECT source, CAST(sum(n) AS BIGINT) AS words, CAST(ceil(sum(n) / {mixing.BLOCK}.0) AS BIGINT) AS blocks FROM d GROUP BY source),
 laid AS (SELECT d.*, blocks, coalesce(sum(n) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM d JOIN t USING (source) WHERE words > 0),
 cut AS (SELECT *, unnest(range(least(b // {mixing.BLOCK}, blocks - 1), least((b + greatest(n - 1, 0)) // {mixing.BLOCK}, blocks - 1) + 1)) AS block FROM laid),
-pieces AS (SELECT *, greatest(block * {mixing.BLOCK} - b, 0) AS start_word, least((block + 1) * {mixing.BLOCK} - b, n) AS end_word FROM cut),
+pieces AS (SELECT *, row_number() OVER (PARTITION BY source, block ORDER BY key, doc_id) - 1 AS place, greatest(block * {mixing.BLOCK} - b, 0) AS start_word, least((block + 1) * {mixing.BLOCK} - b, n) AS end_word FROM cut),
 w AS (SELECT source, blocks, CAST(floor(sqrt(CAST(words AS DOUBLE)) * 1000) AS BIGINT) AS w FROM t WHERE words > 0),
-c AS (SELECT *, CAST(sum(w) OVER (ORDER BY source) AS BIGINT) AS hi, CAST(sum(w) OVER () AS BIGINT) AS total FROM w),
+c AS (SELECT *, CAST(sum(w) OVER (ORDER BY CAST('0x' || substr(md5('0:' || source), 1, 8) AS BIGINT), source) AS BIGINT) AS hi, CAST(sum(w) OVER () AS BIGINT) AS total FROM w),
 bounds AS (SELECT source, blocks, CAST(floor(CAST(hi - w AS DOUBLE) / total * {mixing.RANGE}) AS BIGINT) AS lo, CAST(floor(CAST(hi AS DOUBLE) / total * {mixing.RANGE}) AS BIGINT) AS up FROM c),
 slots AS (SELECT slot, ((slot % {mixing.RANGE}) * {mixing.GOLDEN}) % {mixing.RANGE} AS x FROM (SELECT unnest(range((SELECT CAST(sum(blocks) AS BIGINT) FROM bounds))) AS slot)),
 placed AS (SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS r FROM slots JOIN bounds ON x >= lo AND x < up),
-plan AS (SELECT slot, source, r % blocks AS block, r // blocks AS epoch FROM placed)
-SELECT slot, source, CAST(block AS BIGINT) AS block, CAST(epoch AS BIGINT) AS epoch, doc_id, CAST(start_word AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word,
+ranked AS (SELECT slot, source, blocks, r % blocks AS nth, r // blocks AS epoch, [{", ".join(map(str, mixing.PRIMES))}] AS primes FROM placed),
+plan AS (SELECT slot, source, epoch, CASE WHEN epoch = 0 THEN nth ELSE (nth * (CASE WHEN blocks % primes[epoch % 8 + 1] = 0 THEN primes[(epoch + 1) % 8 + 1] ELSE primes[epoch % 8 + 1] END) + CAST('0x' || substr(md5('{mixing.SEED}:' || epoch), 1, 8) AS BIGINT)) % blocks END AS block FROM ranked)
+SELECT slot, source, CAST(block AS BIGINT) AS block, CAST(epoch AS BIGINT) AS epoch, CAST(place AS BIGINT) AS place, doc_id, CAST(start_word AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word,
   CASE WHEN n = 0 THEN text ELSE array_to_string(list_slice(regexp_extract_all(text, '(?:^[ \\t\\n\\r]*)?[^ \\t\\n\\r]+[ \\t\\n\\r]*'), start_word + 1, end_word), '') END AS text, lang, n_chars
 FROM plan JOIN pieces USING (source, block)"""
 
