@@ -11,7 +11,7 @@ Result: one row per document (doc_id, score, keep, passages, top_passage,
 top_weight); keep is score >= 0.5, top_passage the one of greatest weight (the
 first among equals).
 
-Defined cases: null doc_id: row ignored. Null or empty text, or text without
+Defined cases: null doc_id: row ignored; ids of any type. Null or empty text, or text without
 words: score 0, keep false, no passages, top columns null. Repeated rows: a row
 each. Other columns are ignored. Empty table: empty result. No labels, or of
 one kind only: the score is 0.5 or the share of that kind, by the bias alone.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkernel as tk
-from .cluster import narrow
+from .cluster import id_type, narrow
 from .sampled_labels import labelled
 
 PASSAGE, BUCKETS, HIDDEN, MAX_TRAIN, EPOCHS, SEED = 64, 64, 16, 4_000, 30, 3
@@ -168,11 +168,11 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = tk.words(part.column(1))
             x, first = passages(w, tk.raw_bytes(part.column(1))[0])
             blobs = [x[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), pa.array(blobs, type=pa.binary())], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(blobs, type=pa.binary())], ["doc_id", "y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text") -> Params:
-    got = labelled(docs, labels, label, max_train, id_col, text_col).select("doc_id", "text", "y").mapInArrow(_bags, "doc_id long, y double, x binary").toArrow().combine_chunks().sort_by("doc_id")
+    got = labelled(docs, labels, label, max_train, id_col, text_col).select("doc_id", "text", "y").mapInArrow(_bags, f"doc_id {id_type(docs, id_col)}, y double, x binary").toArrow().combine_chunks().sort_by("doc_id")
     blobs, y = got.column("x").to_pylist(), got.column("y").to_numpy()
     full = np.array([len(b) > 0 for b in blobs], dtype=bool)
     x = np.frombuffer(b"".join(blobs), dtype=np.float32).reshape(-1, WIDTH)
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
     return fit(x, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), y[full], epochs)
 
 
-SCHEMA = "doc_id long, score double, keep boolean, passages int, top_passage int, top_weight double"
+SCHEMA = "score double, keep boolean, passages int, top_passage int, top_weight double"
 
 
 def score(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,8 +202,8 @@ def score(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "t
                     weight[full] = np.maximum.reduceat(f["w"], f0[:-1])
                 empty = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(out), pa.array(out >= 0.5), pa.array(n.astype(np.int32)), pa.array(top, mask=empty), pa.array(weight, mask=empty)],
+                    [part.column(0), pa.array(out), pa.array(out >= 0.5), pa.array(n.astype(np.int32)), pa.array(top, mask=empty), pa.array(weight, mask=empty)],
                     ["doc_id", "score", "keep", "passages", "top_passage", "top_weight"],
                 )
 
-    return narrow(docs, id_col, text_col).mapInArrow(make, SCHEMA)
+    return narrow(docs, id_col, text_col).mapInArrow(make, f"doc_id {id_type(docs, id_col)}, {SCHEMA}")

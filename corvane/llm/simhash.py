@@ -12,9 +12,12 @@ signatures within tau then differ by at most t_i in some partition i. A dynamic
 programme picks the t_i (-1 leaves a partition out) of least cost, from the
 number of candidate pairs at each distance, which is counted over all
 signatures. Both sides of a match at distance t meet in a cell within t/2 of
-each, so a signature is sent to the cells within ceil(t/2) of it only.
+each, so a signature is sent to the cells within ceil(t/2) of it only. A cell of more than
+about ``CELL_ROWS`` signatures is split in blocks, and every two blocks are compared in a cell
+of their own, so that no task holds more than two of them. (Which cells are that
+large is told from one signature in 64 by hash; speed depends on it, the result doesn't.)
 
-Defined cases: null doc_id: row ignored. Null or empty text, or text without
+Defined cases: null doc_id: row ignored; ids of any type with an order. Null or empty text, or text without
 words: belongs to no group. Equal texts, and repeated rows of one doc_id: equal
 signatures, same group (repeated rows of one doc_id count as one document).
 Other columns are ignored, whatever their names. Empty table: empty result.
@@ -28,13 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .cluster import components, cut, narrow
+from .cluster import components, cut, hot_join, id_type, narrow, without
 
 BITS, TAU, TAU_ALL = 64, 10, 26
+CELL_ROWS, SHARE = 8_192, 64
 ROW_COST, PAIR_COST = 1.5e-6, 4e-9  # seconds for a row sent to a cell, for a pair compared
 
 _U = np.uint64
@@ -87,9 +90,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 s1 = simhash(*distinct_rows(w.hash, w.first))
                 s2 = simhash(*distinct_rows(*tk.shingles(w, 2)))
                 full = w.counts > 0
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()).filter(pa.array(full)), pa.array(s1[full].view(np.int64)), pa.array(s2[full].view(np.int64))], ["doc_id", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(full)), pa.array(s1[full].view(np.int64)), pa.array(s2[full].view(np.int64))], ["doc_id", "s1", "s2"])
 
-    return narrow(docs, id_col, text_col).mapInArrow(make, "doc_id long, s1 long, s2 long")
+    return narrow(docs, id_col, text_col).mapInArrow(make, f"doc_id {id_type(docs, id_col)}, s1 long, s2 long")
 
 
 def _bits(s: np.ndarray) -> np.ndarray:
@@ -245,18 +248,28 @@ def _masks(width: int, radius: int) -> np.ndarray:
     return np.array(sorted(masks), dtype=_U)
 
 
-def _cells(parts: list[tuple[np.ndarray, int]]):
+def _cells(parts: list[tuple[np.ndarray, int]], hot: np.ndarray | None = None, blocks: np.ndarray | None = None):
+    """hot: sorted cells that are split, each in so many blocks; a row of one goes to the cells of its block and every other."""
     masks = [_masks(len(bits), (t + 1) // 2) for bits, t in parts]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)
-                s1 = b.column(0).to_numpy().view(_U)
-                cell = [((_keys(s1, bits)[:, None] ^ m) * _U(16) + _U(i)).ravel() for i, ((bits, _), m) in enumerate(zip(parts, masks, strict=True))]
+                s1, s2 = (b.column(k).to_numpy().view(_U) for k in (0, 1))
+                cell = np.concatenate([((_keys(s1, bits)[:, None] ^ m) * _U(16) + _U(i)).ravel() for i, ((bits, _), m) in enumerate(zip(parts, masks, strict=True))]).view(np.int64)
                 row = np.concatenate([np.repeat(np.arange(len(s1)), len(m)) for m in masks])
+                if hot is not None and len(hot):
+                    near = np.minimum(np.searchsorted(hot, cell), len(hot) - 1)
+                    many = np.where(hot[near] == cell, blocks[near], 1)
+                    own = (tk.mix(s1 * tk._M3 + s2)[row] % many.astype(_U)).astype(np.int64)
+                    src = np.repeat(np.arange(len(cell)), many)
+                    other = np.arange(len(src)) - np.repeat(np.cumsum(many) - many, many)
+                    lo, hi = np.minimum(own[src], other), np.maximum(own[src], other)
+                    split = tk.mix((cell[src].view(_U) * tk._M3 + lo.astype(_U)) * tk._M3 + hi.astype(_U)).view(np.int64)
+                    cell, row = np.where(many[src] > 1, split, cell[src]), row[src]
                 rest = b.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).view(np.int64)), *rest.columns], ["cell", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *rest.columns], ["cell", "s1", "s2"])
 
     return send
 
@@ -326,30 +339,35 @@ def _search(tau: int, tau_all: int):
     return search
 
 
-def groups(docs: DataFrame, tau: int = TAU, tau_all: int = TAU_ALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _met(points: DataFrame, parts: list[tuple[np.ndarray, int]], tau: int, tau_all: int, cell_rows: int) -> DataFrame:
+    """(a1, a2, b1, b2): signatures that match, enough pairs to connect those of each group."""
+    schema = "cell long, s1 long, s2 long"
+    some = points.select("s1", "s2").where(F.pmod(F.xxhash64("s1", "s2"), F.lit(SHARE)) == 0)
+    # At most rows sent / cell_rows cells.
+    hot = some.mapInArrow(_cells(parts), schema).groupBy("cell").agg((F.count(F.lit(1)) * SHARE).alias("n")).where(F.col("n") > cell_rows).orderBy("cell").toArrow()
+    blocks = -(-hot.column("n").to_numpy() // cell_rows)
+    sent = points.select("s1", "s2").mapInArrow(_cells(parts, hot.column("cell").to_numpy(), blocks), schema)
+    return sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(tau, tau_all), "a1 long, a2 long, b1 long, b2 long")
+
+
+def groups(docs: DataFrame, tau: int = TAU, tau_all: int = TAU_ALL, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, group_id, group_size, keep) for each document of a group of two or more.
 
     group_id is the least doc_id of the group, which is the one to keep.
     """
     sigs = cut(signatures(docs, id_col, text_col).groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("s")).select("doc_id", "s.s1", "s.s2"))
-    points = cut(sigs.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")).select("id", "s1", "s2"))
+    points = cut(sigs.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "s1", "s2", "n"))
     parts = plan(points, tau)
     # Signatures are distinct, so they travel without ids, which the few edges get afterwards.
-    met = points.select("s1", "s2").mapInArrow(_cells(parts), "cell long, s1 long, s2 long").repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(tau, tau_all), "a1 long, a2 long, b1 long, b2 long")
     named = [points.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("id").alias(x)) for x in "ab"]
-    edges = met.join(named[0], ["a1", "a2"]).join(named[1], ["b1", "b2"]).select("a", "b")
+    edges = _met(points, parts, tau, tau_all, cell_rows).join(named[0], ["a1", "a2"]).join(named[1], ["b1", "b2"]).select("a", "b")
     roots = components(edges)
-    return (
-        sigs.join(points, ["s1", "s2"])
-        .join(roots, "id", "left")
-        .select("doc_id", F.coalesce("root", "id").alias("group_id"))
-        .withColumn("group_size", F.count(F.lit(1)).over(W.partitionBy("group_id")))
-        .where("group_size > 1")
-        .withColumn("keep", F.expr("doc_id = group_id"))
-    )
+    placed = cut(points.join(roots, "id", "left").select("id", "s1", "s2", F.col("n").alias("copies"), F.coalesce("root", "id").alias("group_id")))
+    sizes = placed.groupBy("group_id").agg(F.sum("copies").alias("group_size"), F.count(F.lit(1)).alias("n")).where("group_size > 1")
+    grouped = hot_join(placed, sizes, ["group_id"], "id").select("s1", "s2", "group_id", "group_size", F.col("copies").alias("n"))
+    return hot_join(sigs, grouped, ["s1", "s2"], "doc_id").select("doc_id", "group_id", "group_size", F.expr("doc_id = group_id").alias("keep"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """docs without the documents that a group's kept one stands for; rows with a null doc_id stay."""
-    out = groups(docs, id_col=id_col, text_col=text_col, **how).where("not keep").select(F.col("doc_id").alias("__gone"))
-    return docs.join(out, docs[id_col] == out["__gone"], "left_anti")
+    """docs without the documents that a group's kept one stands for; rows with a null doc_id stay, and all columns."""
+    return without(docs, groups(docs, id_col=id_col, text_col=text_col, **how).where("not keep"), id_col)

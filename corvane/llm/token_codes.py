@@ -17,7 +17,7 @@ characters that aren't white space, where the vocabulary's own pattern always
 cuts; only distinct pieces are tokenised.
 
 Result: (doc_id, n_tokens, codes), a row per row. Defined cases: null doc_id:
-row ignored. Null text: both null. Empty text: 0 tokens, one empty level.
+row ignored; ids of any type. Null text: both null. Empty text: 0 tokens, one empty level.
 Repeated rows: a row each. Other columns are ignored. Empty table: empty
 result. Special tokens' strings in a text are ordinary text.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .cluster import narrow
+from .cluster import id_type, narrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern of byte-level BPE pre-tokens.
@@ -197,9 +197,9 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str
                 ids, first = token_ids(part.column(1), vocabulary)
                 null = part.column(1).is_null().to_numpy(zero_copy_only=False)
                 codes = [None if x else c for x, c in zip(null.tolist(), encode(ids, first), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(first), mask=null), pa.array(codes, type=pa.binary())], ["doc_id", "n_tokens", "codes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first), mask=null), pa.array(codes, type=pa.binary())], ["doc_id", "n_tokens", "codes"])
 
-    return narrow(docs, id_col, text_col).mapInArrow(make, "doc_id long, n_tokens long, codes binary")
+    return narrow(docs, id_col, text_col).mapInArrow(make, f"doc_id {id_type(docs, id_col)}, n_tokens long, codes binary")
 
 
 def token_column(codes: str, place: str) -> Column:

@@ -17,7 +17,7 @@ toxic): sum over k of P(grade >= k), the likeliest grade, P(grade >= 1), and
 whether that reaches the limit at which F1 is best on the labelled rows, each
 judged by a model fitted on the other half of them.
 
-Defined cases: null doc_id: row ignored. Null or empty text, or text without
+Defined cases: null doc_id: row ignored; ids of any type. Null or empty text, or text without
 words: scored by the cuts alone. Repeated rows: a row each. Other columns are
 ignored. Empty table of documents: empty result. No labels, or of one kind
 only: all weights zero and nothing toxic. Only fitting is bounded, by
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .cluster import narrow
+from .cluster import id_type, narrow
 from .sampled_labels import labelled
 
 BITS, STEM, MAX_TRAIN, L1, STEPS, GRADES = 22, 6, 4_000, 0.04, 600, 3
@@ -142,12 +142,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, place, n = word_counts(tk.words(part.column(1)))
             first = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(first, pa.array(x.astype(np.int32))) for x in (place, n)]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), *lists], ["doc_id", "y", "place", "n"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], ["doc_id", "y", "place", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN, graded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """graded: the labels are grades already."""
-    got = labelled(docs, labels, label, max_train, id_col, text_col).select("doc_id", "text", "y").mapInArrow(_features, "doc_id long, y double, place array<int>, n array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    got = labelled(docs, labels, label, max_train, id_col, text_col).select("doc_id", "text", "y").mapInArrow(_features, f"doc_id {id_type(docs, id_col)}, y double, place array<int>, n array<int>").toArrow().combine_chunks().sort_by("doc_id")
     lists = got.column("place").combine_chunks()
     y = got.column("y").to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False)) if len(y) else np.zeros(0, dtype=np.int64)
@@ -203,7 +203,7 @@ def score_rows(w: tk.Words, model: OrdinalModel, bits: int = BITS) -> np.ndarray
     return np.bincount(key // len(model.places), np.log1p(n) * model.weights[key % len(model.places)], minlength=len(out))
 
 
-SCHEMA = "doc_id long, expected_severity double, grade int, p_toxic double, toxic boolean"
+SCHEMA = "expected_severity double, grade int, p_toxic double, toxic boolean"
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,10 +212,10 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             for part in tk.slices(batch, text_col):
                 p = model.above(score_rows(tk.words(part.column(1)), model))
                 each = np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1), axis=1)
-                cols = [part.column(0).cast(pa.int64()), pa.array(p.sum(1)), pa.array(np.argmin(each, axis=1).astype(np.int32)), pa.array(p[:, 0].copy()), pa.array(p[:, 0] >= model.limit)]
+                cols = [part.column(0), pa.array(p.sum(1)), pa.array(np.argmin(each, axis=1).astype(np.int32)), pa.array(p[:, 0].copy()), pa.array(p[:, 0] >= model.limit)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
 
-    return narrow(docs, id_col, text_col).mapInArrow(make, SCHEMA)
+    return narrow(docs, id_col, text_col).mapInArrow(make, f"doc_id {id_type(docs, id_col)}, {SCHEMA}")
 
 
 def reject_by(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
