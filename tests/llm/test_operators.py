@@ -38,23 +38,40 @@ def test_components(spark):
 # 1. Fingerprints
 
 
+def classes_of(texts):
+    """{doc_id: least doc_id of the same words}."""
+    least = {}
+    for i in sorted(texts):
+        least.setdefault(tuple(tk.py_words(texts[i])) or i, i)
+    return {i: least[tuple(tk.py_words(t)) or i] for i, t in texts.items()}
+
+
+def held_against_pairs(df, texts, share, **how):
+    """Links and result rows are those of all pairs of classes, but for the share of pairs that no bucket brings together."""
+    cls = classes_of(texts)
+    grams = {i: (lambda w: {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set())(tk.py_words(texts[i])) for i in set(cls.values())}
+    near = {(a, b) for a in grams for b in grams if a < b and grams[a] and grams[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.7}
+    rows = fingerprints.links(df, **how).collect()
+    found = {(r.a, r.b) for r in rows}
+    assert len(found) == len(rows) and found <= near and len(found) >= share * len(near)
+    assert all(r.jaccard == pytest.approx(fingerprints.jaccard(texts[r.a], texts[r.b])) for r in rows)
+    out = fingerprints.fingerprints(df, **how).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(got) == len(out) and set(got) == set(texts)
+    n, root = Counter(x for pair in found for x in pair), roots(found)
+    assert {i: (r.class_id, r.n_links, r.group_id) for i, r in got.items()} == {i: (c, n[c], root.get(c, c)) for i, c in cls.items()}
+    return got, near
+
+
 def test_fingerprints_against_all_pairs(docs, corpus):
-    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
-    assert set(got) == {r[0] for r in corpus}
     texts = {i: t for i, t, *_ in corpus}
-    found = {(m.doc_id, i) for i, r in got.items() for m in r.matches or ()}
-    for i, r in got.items():
-        for m in r.matches or ():
-            assert m.doc_id < i and m.jaccard >= 0.7 and m.jaccard == pytest.approx(fingerprints.jaccard(texts[i], texts[m.doc_id]))
-    grams = {i: (lambda w: {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set())(tk.py_words(t)) for i, t in texts.items()}
-    near = {(a, b) for a in grams for b in grams if a < b and grams[a] and grams[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.7}
-    linked = roots(found)
-    assert sum(linked.get(a) == linked.get(b, -1) for a, b in near) >= 0.9 * len(near) and len(near) > 60
-    assert got[170].fingerprint is None and got[171].matches is None and len(got[0].fingerprint) == 400
+    got, near = held_against_pairs(docs, texts, 0.97)
+    assert len(near) > 60 and got[170].fingerprint is None and len(got[0].fingerprint) == 400
 
 
-def test_variants_meet_an_original_that_is_not_the_least(spark):
-    """Variants are alike to the original only, whose doc_id is the middle one."""
+@pytest.mark.parametrize("cells", [{}, {"cell_rows": 40, "cell_shingles": 9_000}])
+def test_variants_meet_an_original_that_is_not_the_least(spark, cells):
+    """Variants are alike to the original only, whose doc_id is the middle one; also where its group is split in blocks."""
     rng = random.Random(5)
     original = [f"o{i}" for i in range(400)]
     rows = [(1150, " ".join(original))]
@@ -62,15 +79,24 @@ def test_variants_meet_an_original_that_is_not_the_least(spark):
         at = set(rng.sample(range(2, 398, 4), 16))
         rows.append((i, " ".join(f"v{i}x{k}" if k in at else w for k, w in enumerate(original))))
     texts = dict(rows)
-    variants = sorted(set(texts) - {1150})
-    assert all(fingerprints.jaccard(texts[i], texts[1150]) >= 0.78 for i in variants)
-    assert sum(fingerprints.jaccard(texts[1000], texts[i]) < 0.7 for i in variants) > 290
-    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    found = {(m.doc_id, r.doc_id) for r in got for m in r.matches or ()}
-    assert all(fingerprints.jaccard(texts[a], texts[b]) >= 0.7 for a, b in found)
-    linked = roots(found)
-    assert sum(linked.get(i) == linked[1150] for i in variants) >= 298
-    assert sum((min(i, 1150), max(i, 1150)) in found for i in variants) >= 295
+    got, near = held_against_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), texts, 0.97, **cells)
+    assert sum(1150 in pair for pair in near) == 300 and got[1150].n_links >= 295
+
+
+def test_triples_whatever_the_order_of_ids(spark):
+    """Of each three, one is less alike to one of the others than least; no order of ids loses the other pairs."""
+    rng = random.Random(7)
+    texts = {}
+    for k in range(300):
+        words = [f"t{k}w{i}" for i in range(200)]
+        x = list(words)
+        y = [f"y{i}" if i in (30, 60, 90, 120, 150, 180) else w for i, w in enumerate(words)]
+        outsider = [f"z{i}" if i in (20, 40, 70, 100, 140, 170, 190) else w for i, w in enumerate(words)]
+        ids = [3 * k + j for j in range(3)]
+        if k >= 200:
+            rng.shuffle(ids)
+        texts.update(zip(ids, [" ".join(t) for t in (outsider, x, y)], strict=True))
+    held_against_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, 0.97)
 
 
 def test_minima_are_of_universal_hashes():
@@ -154,7 +180,16 @@ def test_mixture_keeps_texts_and_cycles(docs, corpus):
     assert {r.source for r in rows} == {"s2"}
     blocks = max(r.block for r in rows) + 1
     order = {r.slot: (r.epoch, r.block) for r in rows}
-    assert [order[t] for t in range(120)] == [(t // blocks, t % blocks) for t in range(120)]
+    assert [order[t][0] for t in range(120)] == [t // blocks for t in range(120)]
+    assert [order[t][1] for t in range(blocks)] == list(range(blocks)) and blocks < 100
+    later = [order[t][1] for t in range(blocks, 120)]
+    assert len(set(later)) == len(later) and later != list(range(len(later)))
+    pieces = defaultdict(list)
+    for r in rows:
+        pieces[r.slot].append((r.place, r.text))
+    assert all([p for p, _ in sorted(v)] == list(range(len(v))) for v in pieces.values())
+    whole = {}
+    assert all(whole.setdefault(order[t][1], [x for _, x in sorted(v)]) == [x for _, x in sorted(v)] for t, v in pieces.items())
     texts = {i: t for i, t, _, s in corpus if s == "s2"}
     for i in {r.doc_id for r in rows}:
         parts = sorted((r.start_word, r.end_word, r.text) for r in rows if r.doc_id == i and r.epoch == 0)
