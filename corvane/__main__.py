@@ -11,7 +11,7 @@ from .operators.violations import line_rule
 from .plans.config import flags, resolve
 from .plans.report import REPORTERS, write
 from .plans.steps import Check, run
-from .sources.files import read_text
+from .sources.files import ignore_patterns, read_text
 from .sources.status import changed_paths, staged_paths
 
 
@@ -25,7 +25,7 @@ def main(argv: list[str]) -> int:
     spark = SparkSession.builder.appName("corvane").getOrCreate()
     rule = Check("check_pattern", lambda lines: line_rule(lines, "check_pattern", F.col("text").rlike(pattern), f"matches {pattern}"))
     changed = {"all": lambda *_: None, "changed": changed_paths, "staged": staged_paths}[config["scan_mode"]](spark, argv[0])
-    result = run(spark, [rule], read_text(spark, argv[0]), config, changed)
+    result = run(spark, [rule], read_text(spark, argv[0]), config, changed, ignore=ignore_patterns(argv[0], config["gitignore"]))
     if report:
         write(result, report)
     if not (report or "").endswith(".json"):

@@ -48,9 +48,7 @@ def loc(lines: DataFrame, comments: bool = False, blanks: bool = False, block_co
     A comment opens where a line outside one begins with its sign, and closes
     at the first line that holds the closing sign, its own included.
     """
-    t = F.col("x")
     step = lambda acc, raw: _loc_step(acc, trim(raw), comments, blanks, block_comments)
-    del t
     zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("inside"))
     texts = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ls"))
     return texts.select("path", F.aggregate(F.col("ls.text"), zero, step).n.alias("loc"))

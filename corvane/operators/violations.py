@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegralType, StringType, StructType
 
 from ..model import LOCATION, RAW_VIOLATION
 
@@ -23,6 +26,31 @@ def with_fields(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
 
 
+def from_result(spark: SparkSession, made: Any) -> DataFrame:
+    """Raw violations of what a rule returned: a table, a mapping, a list of mappings, or a mapping that holds such a list
+    under ``violations``. All else, and members that aren't mappings, are left out, as are fields that a violation doesn't have."""
+    if isinstance(made, DataFrame):
+        return with_fields(made)
+    if isinstance(made, dict) and "violations" in made:
+        made = made["violations"]
+    made = [made] if isinstance(made, dict) else made if isinstance(made, list) else []
+    schema = DataType.fromDDL(RAW_VIOLATION)
+    return spark.createDataFrame([_fitted(v, schema) for v in made if isinstance(v, dict)], schema)
+
+
+def _fitted(value: Any, kind: DataType) -> Any:
+    """value as kind asks, field by field; null where it is of another kind."""
+    if isinstance(kind, StructType):
+        return tuple(_fitted(value.get(f.name), f.dataType) for f in kind) if isinstance(value, dict) else None
+    if isinstance(kind, ArrayType):
+        return [_fitted(v, kind.elementType) for v in value] if isinstance(value, list) else None
+    if isinstance(kind, StringType):
+        return value if isinstance(value, str) else None
+    if isinstance(kind, IntegralType):
+        return value if isinstance(value, int) and not isinstance(value, bool) and abs(value) < 1 << 31 else None
+    return value if isinstance(value, dict) and all(isinstance(x, str) for x in [*value, *value.values()]) else None
+
+
 def _split(schema: str) -> list[str]:
     out, depth, now = [], 0, ""
     for c in schema:

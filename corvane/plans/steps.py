@@ -12,9 +12,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.globs import derive_extensions
 from ..operators import incremental
 from ..operators.lines import explode_lines, suppressed
-from ..operators.violations import normalize, with_fields
+from ..operators.violations import from_result, normalize, with_fields
 from ..sources.files import scan
 from .config import step_config
 from .state import State
@@ -87,12 +88,16 @@ class Result:
 
 def _raw(check: Check, files: DataFrame, marker: str) -> DataFrame:
     made = check.fn(suppressed(explode_lines(files), marker)) if check.kind == "lines" else check.fn(files)
-    return with_fields(made)
+    return from_result(files.sparkSession, made)
 
 
-def run(spark: SparkSession, checks: list[Check], files: DataFrame, config: dict[str, Any], changed: DataFrame | None = None, state: State | None = None, head: str = "none") -> Result:
+def run(spark: SparkSession, checks: list[Check], files: DataFrame, config: dict[str, Any], changed: DataFrame | None = None, state: State | None = None, head: str = "none", ignore: list[str] | None = None) -> Result:
     """Runs the steps in order, each as one job, up to the first failure that bails.
 
+    Files are those of the step's extensions, by default of scripts and of what
+    its globs name, without what ``ignore`` (lines of an ignore file) ignores,
+    unless the setting ``gitignore`` is null.
+
     With a state, files whose content was checked by the same rule keep their
     stored violations: those of a rule per file, if all files they depend on are
     unchanged. A rule over the corpus runs again if any file changed.
@@ -100,7 +105,7 @@ def run(spark: SparkSession, checks: list[Check], files: DataFrame, config: dict
     results, found = [], []
     for pos, check in enumerate(order(checks, config)):
         own = step_config(config, check.config)
-        scoped = scan(files, own["include"], own["exclude"], own["extensions"], own["scope"], changed=changed)
+        scoped = scan(files, own["include"], own["exclude"], derive_extensions(own["include"], own["extensions"]), own["scope"], ignore if own["gitignore"] else None, changed)
         hashed = scoped.select("path", F.sha2("source", 256).alias("sha256"))
         stored = state.load(spark, check.id, check.fingerprint()) if state else None
         todo, kept = scoped, None

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,16 +13,31 @@ from ..functions.text import pruned
 
 
 def read_text(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """Whole files under a folder, or one file, with paths relative to it; pruned folders are left out."""
+    """Whole files under a folder, or one file, with paths relative to it; pruned folders are left out.
+
+    Names that begin with ``.`` or ``_`` are hidden from Spark's listing of a folder.
+    """
     found = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    name = F.col("_metadata.file_path")
-    base = root.rstrip("/")
-    path = F.regexp_replace(F.url_decode(F.regexp_replace(name, r"^file:/*", "/")), f"^{base}/?", "")
-    path = F.when(path == "", F.element_at(F.split(name, "/"), -1)).otherwise(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    local = lambda c: F.regexp_replace(c, r"^file:/*", "/")
+    base = re.sub(r"^file:/*", "/", folder.getFileSystem(conf).makeQualified(folder).toString()).rstrip("/") + "/"
+    # Names are percent-coded; a plus stands for itself.
+    name = F.url_decode(F.replace(local(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B")))
+    path = F.when(name.startswith(base), F.substring(name, len(base) + 1, 1 << 30)).otherwise(F.element_at(F.split(name, "/"), -1))
     files = found.select(path.alias("path"), F.col("value").alias("source")).where(~pruned(F.col("path")))
     return files.where(has_extension(F.col("path"), extensions)) if extensions else files
 
 
+def ignore_patterns(root: str, name: str | None) -> list[str]:
+    """Lines of the ignore file of a folder; none where there is no such file, or no name."""
+    try:
+        with open(os.path.join(root, name or ""), encoding="utf-8") as f:
+            return f.read().splitlines()
+    except OSError:
+        return []
+
+
 def has_extension(path: Column, extensions: list[str]) -> Column:
     out = F.lit(False)
     for e in extensions:

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from corvane.plans.config import resolve
 from corvane.plans.report import as_compact, as_json, as_text, write
 from corvane.plans.state import State
 from corvane.plans.steps import Check, Registry, order, run
-from corvane.sources.files import read_text, scan
+from corvane.sources.files import ignore_patterns, read_text, scan
 from corvane.sources.status import context, status_paths
 from corvane.streaming.watch import current, watch
 
@@ -93,6 +94,35 @@ def test_scan_and_files(spark, tmp_path):
     assert {r.path for r in scan(files, changed=files.where("path like 'lib%'")).collect()} == {"lib/a.js"}
 
 
+def test_paths_are_relative_whatever_the_name_of_the_root(spark, tmp_path, monkeypatch):
+    root = tmp_path / "a+b (c) %20"
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "x+y é.js").write_text("x")
+    for name in (str(root), str(root) + "/", f"{root}/src/../."):
+        assert [r.path for r in read_text(spark, name).collect()] == ["src/x+y é.js"]
+    assert [r.path for r in read_text(spark, str(root / "src" / "x+y é.js")).collect()] == ["x+y é.js"]
+    assert [r.path for r in read_text(spark, os.path.relpath(root)).collect()] == ["src/x+y é.js"]
+
+
+def test_run_ignores_and_filters_by_extension(spark, tmp_path):
+    (tmp_path / ".gitignore").write_text("# built\nbuilt/\n!keep.js\n")
+    paths = ["built/a.js", "src/a.js", "src/b.py", "src/c.vue"]
+    files = spark.createDataFrame([(p, "TODO") for p in paths], "path string, source string")
+    ignore = ignore_patterns(str(tmp_path), ".gitignore")
+    hits = lambda **c: {v.file for v in run(spark, [Check("check_todo", todo)], files, resolve(c), ignore=ignore).violations.collect()}
+    assert hits() == {"src/a.js"}
+    assert hits(gitignore=None) == {"built/a.js", "src/a.js"}
+    assert hits(extensions=["py"]) == {"src/b.py"} and hits(include=["src/*.{vue,js}"]) == {"src/a.js", "src/c.vue"}
+    assert ignore_patterns(str(tmp_path), "absent") == [] == ignore_patterns(str(tmp_path), None)
+
+
+def test_rules_that_return_values(spark):
+    one = {"message": "m", "file": "src/a.js", "line": 3, "custom": object()}
+    for made, n in ((one, 1), ([one, one, None, "x"], 2), ({"violations": [one]}, 1), ({"violations": None}, 0), (None, 0), ("x", 0), ([], 0)):
+        got = run(spark, [Check("check_v", lambda files, made=made: made, "corpus")], _files(spark, src_a="x"), resolve({}))
+        assert [(v.message, v.file, v.line) for v in got.violations.collect()] == [("m", "src/a.js", 3)] * n and got.passed == (n == 0)
+
+
 def test_status_lines(spark):
     lines = [" M a.ts", "M  b.ts", "MM c.ts", "A  d.ts", "?? e.ts", " D f.ts", "R  g.ts -> h.ts", "C  i.ts -> j.ts", "UU k.ts", " M l\\m.ts", " M .cache/x", ""]
     got = status_paths(spark.createDataFrame([(x,) for x in lines], "status_line string"), (".cache/",))
