@@ -113,6 +113,41 @@ def test_declaration_pairs(spark):
     }
 
 
+def test_declaration_links_against_pairs(spark):
+    """Numbers by code are those of the listed pairs, and members of a class are exact duplicates; with repeated keys, flags, other orders and a missing name."""
+    from corvane.model import DECLARATION
+
+    rng = random.Random(7)
+    rows = []
+    for _ in range(150):
+        props = [(rng.choice("xyz"), rng.choice(["int", "s", None]), rng.random() < 0.2, False) for _ in range(rng.randint(0, 3))]
+        rows.append((rng.choice(["interface", "type"]), rng.choice(["A", "B", "C", None]), f"{rng.randint(0, 60)}.ts", rng.randint(1, 2), props))
+    df = spark.createDataFrame(rows, DECLARATION)
+    want = {}
+    for r in pairs.duplicate_declarations(df).collect():
+        for p in (r.primary, r.duplicate):
+            at = (p.file_path, p.line, p.name, p.kind), r.code
+            want[at] = want.get(at, 0) + 1
+    got, names = {}, ("exact_duplicate", "same_structure", "same_name_diff_types", "same_name_diff_struct")
+    links = pairs.declaration_links(df).collect()
+    for r in links:
+        for c in names:
+            at = (r.file_path, r.line, r.name, r.kind), c.upper()
+            got[at] = got.get(at, 0) + r[c]
+    assert {k: n for k, n in got.items() if n} == want and len(links) == sum(bool(r[4]) for r in rows)
+    assert len({k[1] for k in want}) == 4
+    plain = {(r.file_path, r["class"]) for r in pairs.declaration_links(spark.createDataFrame([_decl("A", "b.ts", 1, [("x", "s")]), _decl("A", "a.ts", 1, [("x", "s")]), _decl("B", "c.ts", 1, [("x", "s")])], DECLARATION)).collect()}
+    assert plain == {("a.ts", "a.ts:1"), ("b.ts", "a.ts:1"), ("c.ts", "c.ts:1")}
+
+
+def test_hot_declarations_are_not_paired(spark):
+    """100,000 copies have 5 * 10^9 pairs: they are counted."""
+    t = "array<struct<name:string,type:string,optional:boolean,readonly:boolean>>"
+    df = spark.range(100_000).selectExpr("'type' kind", "'A' name", "concat(id, '.ts') file_path", "1 line", f"cast(array(named_struct('name', 'x', 'type', 'int', 'optional', false, 'readonly', false)) as {t}) props")
+    (r,) = pairs.declaration_links(df).groupBy("class", "exact_duplicate", "same_structure").count().collect()
+    assert tuple(r) == ("0.ts:1", 99_999, 0, 100_000)
+
+
 def test_declarations_are_read(spark):
     src = "export interface A extends B {\n  readonly x: number;\n  y?: Array<{ a: string }>, // note\n  'z': () => void\n}\ntype T = { k: string }\ntype U = A | T\n"
     got = declarations.declarations(src)
