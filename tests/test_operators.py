@@ -259,6 +259,26 @@ def test_markup_similarity_scores_whole_pages(spark, tmp_path):
     assert got[0, 2] > got[0, 1] and (0, 3) in got and (0, 4) in got
 
 
+def test_whole_signatures_are_compared():
+    """Signatures beyond the sample's, the substring's and the levels' bounds, against a plain table."""
+    assert markup.lcs_similarity("a" * 801, "a" * 801, whole=True) == 1
+    rng = random.Random(9)
+    for n in (300, 1300):
+        a = "".join(rng.choices("abcd", k=n))
+        b = "".join(c if rng.random() < 0.8 else rng.choice("abcd") for c in a[:-7]) + "ab"
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert markup.lcs_length(a, b, whole=True) == markup.lcs_length(b, a, whole=True) == row[-1]
+    # Of two long rows of links with one sign in three changed, the sample sees none of it.
+    link = lambda at: f"<a href='/{''.join(rng.choices('xyz', k=at))}'/>"
+    one = "<div>" + "".join(link(20) for _ in range(60)) + "</div>"
+    assert markup.compare(one, one, markup.WHOLE) > markup.compare(one, one)
+    assert not markup.prepared("<p>x" * 70, markup.WHOLE)[2][0][0].endswith("…")
+
+
 def test_scores_of_kinds_equal_scores_of_all_nodes():
     """compare scores kinds of nodes once and skips those that can't reach the threshold: here, every pair of nodes."""
 
