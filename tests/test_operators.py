@@ -246,15 +246,19 @@ def test_markup_similarity_scores_whole_pages(spark, tmp_path):
     html = [page("one", words), page("one", table), page("another title", words), page("one", "\n" + words), f"<html><body><div>{words}</div></body></html>", "", None]
     rows = [(i, f"http://h{h}.example.com/{i}", t) for h in range(2) for i, t in enumerate(html, 10 * h)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = {(r.a_id, r.b_id): r.score for r in queries.markup_similarity(spark, str(tmp_path)).collect()}
+    found = queries.markup_similarity(spark, str(tmp_path)).collect()
+    of = {r.b_id: (r.a_id, r.size) for r in found if r.kind == "block"}
+    scores = {(r.a_id, r.b_id): r.score for r in found if r.kind == "pair"}
     closed = {i: re.sub(r"<(!DOCTYPE|meta|br)([^>]*)>", r"<\1\2/>", t) for i, _, t in rows if t}
-    want = {}
+    assert {i: n for i, (_, n) in of.items()} == {i: len(t) for i, t in closed.items()} and of[2][0] == 0
+    want, got = {}, {}
     for a in closed:
         for b in closed:
             x, y = closed[a], closed[b]
             close = min(len(x), len(y)) / max(len(x), len(y)) >= pairs.RATIO
             if a < b and a // 10 == b // 10 and (close or markup.signature(x) == markup.signature(y)):
                 want[a, b] = markup.compare(x, y)
+                got[a, b] = scores[tuple(sorted((of[a][0], of[b][0])))]
     assert got == want and len(want) == 20
     assert got[0, 2] > got[0, 1] and (0, 3) in got and (0, 4) in got
 
@@ -279,6 +283,25 @@ def test_whole_signatures_are_compared():
     assert not markup.prepared("<p>x" * 70, markup.WHOLE)[2][0][0].endswith("…")
 
 
+def test_classes_in_several_blocks(spark, monkeypatch):
+    """Blocks of few classes and batches of any order give the scores of all pairs."""
+    monkeypatch.setattr(blocks, "BLOCK", 3)
+    rng = random.Random(6)
+    body = lambda: "<div>" + "".join(rng.choice(["<p>x</p>", "<p>yy</p>", "<b k='1'/>", "<b k='2'/>", "<i><u/></i>"]) for _ in range(rng.randint(3, 30))) + "</div>"
+    rows = [(i, rng.choice(["r", "s", "", None]), body() if i % 7 else "<div><p>x</p></div>") for i in range(40)]
+    found = blocks.class_scores(spark.createDataFrame(rows, "id long, root string, body string")).collect()
+    of, scores = {r.b_id: r.a_id for r in found if r.kind == "block"}, {(r.a_id, r.b_id): r.score for r in found if r.kind == "pair"}
+    assert len(of) == 40 and len(scores) == sum(r.kind == "pair" for r in found)
+    seen = set()
+    for a, r, x in rows:
+        for b, s, y in rows:
+            if a < b and r is not None and r == s and min(len(x), len(y)) / max(len(x), len(y)) >= pairs.RATIO:
+                k = tuple(sorted((of[a], of[b])))
+                seen.add(k)
+                assert scores[k] == markup.compare(x, y, markup.WHOLE)
+    assert {k for k in scores if k[0] != k[1]} == {k for k in seen if k[0] != k[1]} and len(seen) > 50
+
+
 def test_scores_of_kinds_equal_scores_of_all_nodes():
     """compare scores kinds of nodes once and skips those that can't reach the threshold: here, every pair of nodes."""
 
