@@ -239,6 +239,29 @@ def test_similar_length_against_all_pairs(spark):
     assert got == want
 
 
+def test_length_links_against_all_pairs(spark):
+    """Numbers by row are those of the listed pairs: exact bounds of the ratio, empty texts, repeated ids, missing ids, roots and states."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(90)]), rng.choice(["r", "s", None]), "x" * rng.choice([0, 11, 20, 22, 40, rng.randint(1, 60)]), rng.choice([True, False, None])) for _ in range(120)]
+    rows.append((500, "r", None, True))
+    df = spark.createDataFrame(rows, "id int, root string, body string, clean boolean")
+    close = lambda x, y: min(x, y) > 0 and min(x, y) / max(x, y) >= 0.55
+    want = []
+    for i, r, t, c in rows:
+        near = [d for j, s, u, d in rows if None not in (i, j, r, s, t, u) and i != j and r == s and close(len(t), len(u))]
+        same = [j for j, s, u, _ in rows if s == r and (u is None) == (t is None) and (u is None or len(u) == len(t)) and j is not None]
+        want.append((i, min(same, default=None), c, len(near), len(near) if c is False else near.count(False), near.count(True) if c else 0))
+    key = lambda x: tuple(map(str, x))
+    assert sorted(map(tuple, pairs.length_links(df).collect()), key=key) == sorted(want, key=key) and sum(x[3] for x in want) > 500
+
+
+def test_many_blocks_of_one_root_are_not_paired(spark):
+    """100,000 texts of one root have 5 * 10^9 pairs: they are counted."""
+    df = spark.range(100_000).selectExpr("cast(id as int) id", "'r' root", "repeat('x', cast(100 + id % 10 as int)) body", "id % 2 = 0 clean")
+    (r,) = pairs.length_links(df).selectExpr("min(links) a", "max(links) b", "count(*) n", "count(distinct class) c").collect()
+    assert tuple(r) == (99_999, 99_999, 100_000, 10)
+
+
 def test_markup_similarity_scores_whole_pages(spark, tmp_path):
     """One title with other bodies, one body with other titles, a page without <article>, and a break before the first <p>."""
     page = lambda title, body: f"<!DOCTYPE html><html><head><meta charset='utf-8'></head><body><article><h1>{title}</h1>{body}</article></body></html>"
