@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space beyond ASCII counts too.
 SPACE = r"[\s\x{00A0}\x{FEFF}\x{2028}\x{2029}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+#: The same white space, sign by sign.
+SPACES = " \t\n\x0b\f\r\u00a0\ufeff\u2028\u2029\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
 
 def trim(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.globs import java_escape
-from ..functions.text import trim
+from ..functions.text import SPACES, trim
 from ..model import MARKER
 
 
@@ -48,15 +48,25 @@ def loc(lines: DataFrame, comments: bool = False, blanks: bool = False, block_co
     A comment opens where a line outside one begins with its sign, and closes
     at the first line that holds the closing sign, its own included.
     """
-    step = lambda acc, raw: _loc_step(acc, trim(raw), comments, blanks, block_comments)
-    zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("inside"))
     texts = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ls"))
-    return texts.select("path", F.aggregate(F.col("ls.text"), zero, step).n.alias("loc"))
+    return texts.select("path", _loc(F.col("ls.text"), comments, blanks, block_comments).alias("loc"))
+
+
+def loc_of_files(files: DataFrame, comments: bool = False, blanks: bool = False, block_comments: bool = False, path: str = "path", source: str = "source") -> DataFrame:
+    """The same for files, each text folded where it is read: only (path, loc) is shuffled. Texts of one path are added up."""
+    each = files.where(F.col(source).isNotNull()).select(F.col(path).alias("path"), _loc(F.split(source, "\n", -1), comments, blanks, block_comments).alias("loc"))
+    return each.groupBy("path").agg(F.sum("loc").cast("int").alias("loc"))
+
+
+def _loc(texts: Column, comments: bool, blanks: bool, block_comments: bool) -> Column:
+    # The first two signs of a line and whether it closes a comment are all that counts; they are taken once a line.
+    seen = F.transform(texts, lambda t: F.struct(F.substring(F.ltrim(t, F.lit(SPACES)), 1, 2).alias("head"), t.contains("*/").alias("closes")))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("inside"))
+    return F.aggregate(seen, zero, lambda acc, line: _loc_step(acc, line, comments, blanks, block_comments)).n
 
 
 def _loc_step(acc: Column, line: Column, comments: bool, blanks: bool, block_comments: bool) -> Column:
-    closes = line.contains("*/")
-    opens = line.startswith("/*")
+    covered = acc.inside | (line.head == "/*")
     one = lambda yes: acc.n + F.lit(int(yes))
-    n = F.when(acc.inside | opens, one(block_comments)).when(line == "", one(blanks)).when(line.startswith("//"), one(comments)).otherwise(one(True))
-    return F.struct(n.alias("n"), ((acc.inside | opens) & ~closes).alias("inside"))
+    n = F.when(covered, one(block_comments)).when(line.head == "", one(blanks)).when(line.head == "//", one(comments)).otherwise(one(True))
+    return F.struct(n.alias("n"), (covered & ~line.closes).alias("inside"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane import queries
 from corvane.model import MARKER
 from corvane.operators import blocks, components, declarations, incremental, markup, pairs
-from corvane.operators.lines import explode_lines, loc, suppressed
+from corvane.operators.lines import explode_lines, loc, loc_of_files, suppressed
 from corvane.operators.violations import bail, group, import_boundary, line_rule, normalize, number_steps, passed, step_results, summary, with_fields
 
 S, E = f"// {MARKER}-start", f"// {MARKER}-end"
@@ -38,6 +38,28 @@ def test_loc(spark):
     assert loc(lines, comments=True, blanks=True, block_comments=True).first().loc == 9
 
 
+def test_loc_of_files(spark):
+    """Against a plain count, with white space beyond ASCII; texts stay where they are read."""
+    rng = random.Random(2)
+    part = lambda: rng.choice(["a", "//", "/*", "*/", "/", "*", " ", "\t", "\u3000", "\u00a0", "\u2028", "\r", "\x0b", "", "\n", "\n"])
+    rows = [(f"f{i % 45}", "".join(part() for _ in range(rng.randint(0, 40)))) for i in range(60)] + [("none", None)]
+    files = spark.createDataFrame(rows, "path string, source string").repartition(3)
+    for flags in ((False, False, False), (True, False, False), (False, True, False), (False, False, True)):
+        want = {}
+        for f, t in rows[:-1]:
+            inside, n = False, 0
+            for line in (x.strip(" \t\n\x0b\f\r\u00a0\u2028\u3000") for x in t.split("\n")):
+                covered = inside or line.startswith("/*")
+                n += flags[2] if covered else flags[1] if not line else flags[0] if line.startswith("//") else 1
+                inside = covered and "*/" not in line
+            want[f] = want.get(f, 0) + n
+        assert {r.path: r.loc for r in loc_of_files(files, *flags).collect()} == want
+    one = spark.createDataFrame(rows[:45], "path string, source string")
+    assert sorted(loc(explode_lines(one)).collect()) == sorted(loc_of_files(one).collect())
+    plan = loc_of_files(one)._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "collect_list" not in plan
+
+
 def test_line_rule_reports_a_line_once(spark):
     lines = suppressed(explode_lines(spark.createDataFrame([("f", f"TODO TODO\n{S}\nTODO\n{E}\n// TODO")], "path string, source string")))
     assert [r.line for r in line_rule(lines, "r", F.col("text").contains("TODO"), "m", skip_comments=True).collect()] == [1]
